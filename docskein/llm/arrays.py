@@ -62,11 +62,11 @@ def code_points(text: str) -> np.ndarray:
 
 
 def slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about limit characters in all; a longer text stands alone."""
+    """Ranges of at most 60,000 texts of about limit characters in all; a longer text stands alone."""
     begin, size = 0, 0
     for i, t in enumerate(texts):
         n = len(t) if t else 0
-        if size and size + n > limit:
+        if (size and size + n > limit) or i - begin >= 60_000:
             yield begin, i
             begin, size = i, 0
         size += n
