@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docskein.llm import neardup, overlap
+from docskein.llm import encoding, leakage, neardup, overlap, tokenizer
 
 EVALUATION = ["validation", "test"]
 
@@ -34,6 +34,27 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicate_groups(_table(spark, folder, "combined_all_chunks"), "chunk_id", ["doc", "code_snippet"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p5_found, p5_groups)}
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenizer.encode_corpus(_table(spark, folder, "documents"), "doc_id", "text").toDF("doc_id", "ids")
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenizer.token_report(_table(spark, folder, "documents"), "doc_id", "text", "source").withColumnRenamed("group", "source")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    fields = ["question", "reference_context", "reference_answer"]
+    return leakage.leaking_documents(_table(spark, folder, "documents"), "doc_id", "text", _table(spark, folder, "golden_dataset"), "item_id", fields)
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.restored_texts(_table(spark, folder, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"))
+
+
+def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.restored_texts(_table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p5_found, p5_groups, p6_ids, p6_report, p7_found, p8_found, p8_restored)}
 
 SQL: dict[str, str] = {}
