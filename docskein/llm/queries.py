@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docskein.llm import encoding, leakage, neardup, overlap, tokenizer
+from docskein.llm import consensus, encoding, leakage, neardup, overlap, packing, tokenizer
 
 EVALUATION = ["validation", "test"]
 
@@ -25,6 +25,37 @@ def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.overlap_report(_table(spark, folder, "dataset"), "sample_id", "text", "split", "source", ["train"], EVALUATION)
 
 
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_table(spark, folder, "dataset"), "sample_id", "text", "split", _table(spark, folder, "pack_limits"), "split", "max_chars")
+
+
+def p2_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return _packed(spark, folder).select(F.col("group").alias("split"), "sequence", "place", F.col("id").alias("sample_id"), "start", "length")
+
+
+def p2_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(_packed(spark, folder), _table(spark, folder, "pack_limits"), "split", "max_chars").withColumnRenamed("group", "split")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    items, _ = consensus.estimate(consensus.usable_votes(_table(spark, folder, "evaluation_result")))
+    return items.where("judges >= 3").select(F.col("item").alias("question_id"), "consensus")
+
+
+def p4_questions(spark: SparkSession, folder: str) -> DataFrame:
+    items, _ = consensus.estimate(consensus.usable_votes(_table(spark, folder, "evaluation_result")))
+    return items.withColumnRenamed("item", "question_id")
+
+
+def p4_judges(spark: SparkSession, folder: str) -> DataFrame:
+    votes = consensus.usable_votes(_table(spark, folder, "evaluation_result"))
+    return consensus.reliability(consensus.estimate(votes)[1], votes)
+
+
+def p4_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    return consensus.chance_corrected(consensus.usable_votes(_table(spark, folder, "evaluation_result")))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = neardup.near_duplicate_pairs(_table(spark, folder, "combined_all_chunks"), "chunk_id", ["doc", "code_snippet"])
     return pairs.toDF("chunk_id_1", "chunk_id_2")
@@ -55,6 +86,6 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.restored_texts(_table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p5_found, p5_groups, p6_ids, p6_report, p7_found, p8_found, p8_restored)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p2_packed, p2_report, p4_found, p4_questions, p4_judges, p4_agreement, p5_found, p5_groups, p6_ids, p6_report, p7_found, p8_found, p8_restored)}
 
 SQL: dict[str, str] = {}
