@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docskein.llm import consensus, encoding, leakage, neardup, overlap, packing, tokenizer
+from docskein.llm import consensus, encoding, leakage, neardup, overlap, packing, pairs, tokenizer
 
 EVALUATION = ["validation", "test"]
 
@@ -17,8 +17,8 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = overlap.split_overlap_pairs(_table(spark, folder, "dataset"), "sample_id", "text", "split", ["train"], EVALUATION)
-    return pairs.select(F.least("eval_id", "train_id").alias("sample_id_1"), F.greatest("eval_id", "train_id").alias("sample_id_2"))
+    found = overlap.split_overlap_pairs(_table(spark, folder, "dataset"), "sample_id", "text", "split", ["train"], EVALUATION)
+    return found.select(F.least("eval_id", "train_id").alias("sample_id_1"), F.greatest("eval_id", "train_id").alias("sample_id_2"))
 
 
 def p1_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,6 +37,14 @@ def p2_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(_packed(spark, folder), _table(spark, folder, "pack_limits"), "split", "max_chars").withColumnRenamed("group", "split")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.broken_pairs(_table(spark, folder, "evaluation_result")).select("question_id", "side", "defect")
+
+
+def p3_report(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.broken_pairs(_table(spark, folder, "evaluation_result")).groupBy("side", "defect").agg(F.count("*").alias("responses"), F.min("margin").alias("least_margin"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     items, _ = consensus.estimate(consensus.usable_votes(_table(spark, folder, "evaluation_result")))
     return items.where("judges >= 3").select(F.col("item").alias("question_id"), "consensus")
@@ -57,8 +65,8 @@ def p4_agreement(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = neardup.near_duplicate_pairs(_table(spark, folder, "combined_all_chunks"), "chunk_id", ["doc", "code_snippet"])
-    return pairs.toDF("chunk_id_1", "chunk_id_2")
+    found = neardup.near_duplicate_pairs(_table(spark, folder, "combined_all_chunks"), "chunk_id", ["doc", "code_snippet"])
+    return found.toDF("chunk_id_1", "chunk_id_2")
 
 
 def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,6 +94,6 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.restored_texts(_table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p2_packed, p2_report, p4_found, p4_questions, p4_judges, p4_agreement, p5_found, p5_groups, p6_ids, p6_report, p7_found, p8_found, p8_restored)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p2_packed, p2_report, p3_found, p3_report, p4_found, p4_questions, p4_judges, p4_agreement, p5_found, p5_groups, p6_ids, p6_report, p7_found, p8_found, p8_restored)}
 
 SQL: dict[str, str] = {}
