@@ -144,8 +144,9 @@ def reciprocal_rank_fusion(runs: list[DataFrame], k: int, constant: int = 60) ->
 
 def hybrid(dense: DataFrame, sparse: DataFrame, k: int, constant: int = 60) -> DataFrame:
     """Fused where a query has sparse hits, its dense hits where it has none."""
-    fused = reciprocal_rank_fusion([dense, sparse], k, constant)
-    alone = dense.join(sparse.select("qid").distinct(), "qid", "left_anti").where(F.col("rank") <= k)
+    asked = sparse.select("qid").distinct()
+    fused = reciprocal_rank_fusion([dense.join(asked, "qid", "left_semi"), sparse], k, constant)
+    alone = dense.join(asked, "qid", "left_anti").where(F.col("rank") <= k)
     return fused.unionByName(alone.select("qid", "doc_id", "score", "rank"))
 
 
@@ -199,7 +200,7 @@ def contexts(hits: DataFrame, docs: DataFrame, least: float = 0.1) -> DataFrame:
 
 def context_string(rows: DataFrame) -> DataFrame:
     """qid, context, files: numbered references in rank order, and the distinct files in the order of their first mention."""
-    line = F.format_string("[Document %d: %s (Score: %.4f)]", F.col("rank"), F.col("title"), F.col("score"))
+    line = F.format_string("[Document %d: %s (Score: %.4f)]", F.col("rank"), F.col("title"), F.floor(F.col("score") * 10000.0 + 0.5) / 10000.0)
     packed = rows.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line"), "filename"))).alias("all"))
     return packed.select("qid", F.array_join(F.col("all.line"), "\n").alias("context"), F.array_join(F.array_distinct(F.filter(F.col("all.filename"), lambda x: x != "")), ", ").alias("files"))
 

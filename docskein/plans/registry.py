@@ -1,4 +1,4 @@
-"""All queries of the core by name, with their SQL."""
+"""All queries of the core by name, with their SQL. Each runs over its whole tables."""
 
 from __future__ import annotations
 
@@ -9,3 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 FLAGSHIP = "r_bm25_top10"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function (spark, folder) -> DataFrame under its name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def load() -> None:
+    from docskein.plans import answers, chunks, retrieval, texts, usage  # noqa: F401
+
+
+load()
