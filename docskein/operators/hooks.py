@@ -8,12 +8,13 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def scorer(score: Callable[[list[str], list[str]], list[float]]):
     """A column function (query, text) -> double from a function on batches, such as a cross-encoder."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def run(query: pd.Series, text: pd.Series) -> pd.Series:
         return pd.Series(score(query.fillna("").tolist(), text.fillna("").tolist()), dtype="float64")
 
@@ -23,7 +24,7 @@ def scorer(score: Callable[[list[str], list[str]], list[float]]):
 def encoder(encode: Callable[[list[str]], list[list[float]]], prefix: str = ""):
     """A column function text -> vector from a function on batches; prefix goes before each text."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(text: pd.Series) -> pd.Series:
         return pd.Series(encode([prefix + t for t in text.fillna("")]))
 
@@ -35,7 +36,7 @@ def pair_text(title: Column, content: Column, code: Column) -> Column:
     return F.concat_ws("\n", F.concat(F.lit("Title: "), F.coalesce(title, F.lit(""))), F.concat(F.lit("Content: "), F.substring(F.coalesce(content, F.lit("")), 1, 2000)), F.concat(F.lit("Code: "), F.substring(F.coalesce(code, F.lit("")), 1, 1500)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rouge_l(reference: pd.Series, candidate: pd.Series) -> pd.Series:
     """F measure of the longest common subsequence of words; 0 if one is empty."""
 
@@ -59,7 +60,7 @@ def rouge_l(reference: pd.Series, candidate: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(reference, candidate)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two texts."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b)], dtype="float64")

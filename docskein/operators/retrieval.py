@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docskein.functions import text as tx
 
@@ -58,6 +59,7 @@ def dense_hits(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048
     spark = vectors.sparkSession
     asked = queries.where("vec IS NOT NULL AND size(vec) > 0").select("qid", "vec")
     blocks = max(1, -(-asked.count() // block))
+    qid_type = to_arrow_type(queries.schema["qid"].dataType)
     kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, doc_id {vectors.schema['doc_id'].dataType.simpleString()}, score double"
     out = None
     for i in range(blocks):
@@ -81,7 +83,7 @@ def dense_hits(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048
                     # everything that ties with the k-th best is passed on, so that the tie-break by id stays exact
                     floor = -np.partition(-score, keep - 1, axis=1)[:, keep - 1 : keep]
                     q, d = np.nonzero(score >= floor)
-                    yield pa.RecordBatch.from_arrays([pa.array([qids[x] for x in q]), ids.take(pa.array(at[d])), pa.array(score[q, d])], ["qid", "doc_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array([qids[x] for x in q], qid_type), ids.take(pa.array(at[d])), pa.array(score[q, d])], ["qid", "doc_id", "score"])
 
         part = vectors.select("doc_id", "vec").mapInArrow(scan, kinds)
         out = part if out is None else out.union(part)
@@ -101,6 +103,7 @@ def max_sim(doc_tokens: DataFrame, query_tokens: DataFrame) -> DataFrame:
     if len(rows) > 100_000:
         raise ValueError("too many query tokens at once: split the queries")
     shared = doc_tokens.sparkSession.sparkContext.broadcast(([r.qid for r in rows], [r.tok for r in rows], np.array([r.vec for r in rows], dtype=np.float64)))
+    qid_type, tok_type = (to_arrow_type(query_tokens.schema[c].dataType) for c in ("qid", "tok"))
     schema = f"qid {query_tokens.schema['qid'].dataType.simpleString()}, tok {query_tokens.schema['tok'].dataType.simpleString()}, doc_id {doc_tokens.schema['doc_id'].dataType.simpleString()}, best double"
 
     def scan(batches):
@@ -120,7 +123,7 @@ def max_sim(doc_tokens: DataFrame, query_tokens: DataFrame) -> DataFrame:
             for column, doc in enumerate(inverse[ok]):
                 np.maximum(best[:, doc], score[:, column], out=best[:, doc])
             q, d = np.nonzero(best > -2)
-            yield pa.RecordBatch.from_arrays([pa.array([qids[x] for x in q]), pa.array([toks[x] for x in q]), pa.array(ids[d]).cast(batch.schema.field(0).type), pa.array(best[q, d])], ["qid", "tok", "doc_id", "best"])
+            yield pa.RecordBatch.from_arrays([pa.array([qids[x] for x in q], qid_type), pa.array([toks[x] for x in q], tok_type), pa.array(ids[d]).cast(batch.schema.field(0).type), pa.array(best[q, d])], ["qid", "tok", "doc_id", "best"])
 
     best = doc_tokens.select("doc_id", "vec").mapInArrow(scan, schema).groupBy("qid", "tok", "doc_id").agg(F.max("best").alias("best"))
     return best.groupBy("qid", "doc_id").agg(F.round(F.sum("best"), 6).alias("score"))
