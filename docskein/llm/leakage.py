@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docskein.llm.arrays import U64, code_points, hash_runs, mix, slices, word_table
 
@@ -141,6 +142,7 @@ def leaked_passages(documents: DataFrame, doc_id: str, text: str, items: DataFra
     chars = flat.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(chars) // block_chars))
     doc_kind, item_kind = documents.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+    item_type = to_arrow_type(items.schema[item_id].dataType)
     out = None
     for k in range(blocks):
         rows = flat.where(F.pmod(F.xxhash64("item_id", "field"), F.lit(blocks)) == k).orderBy("item_id", "field").collect()
@@ -155,7 +157,7 @@ def leaked_passages(documents: DataFrame, doc_id: str, text: str, items: DataFra
                     if hits:
                         yield pa.RecordBatch.from_arrays(
                             [
-                                pa.array([own.keys[f][0] for _, f, _ in hits]),
+                                pa.array([own.keys[f][0] for _, f, _ in hits], item_type),
                                 batch.column(0).take(pa.array([a + t for t, _, _ in hits])),
                                 pa.array([own.keys[f][1] for _, f, _ in hits]),
                                 pa.array([n for _, _, n in hits], pa.int32()),
