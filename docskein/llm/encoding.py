@@ -62,6 +62,10 @@ class Model:
         ab = self.pairs[pair_buckets(points)] + 0.5
         return 2 * shift - (2 * np.log2(ab) - np.log2(c[:-1]) - np.log2(c[1:]))
 
+    def rarity(self, text: str) -> float:
+        """The mean cost of the characters of a text by themselves, in bits."""
+        return float(-np.log2((self.chars[char_buckets(code_points(text))] + 0.1) / self.total).mean())
+
     def bits(self, text: str) -> float:
         """The cost of a text after its first character, in bits, with each character given the one before."""
         points = code_points(text)
@@ -157,24 +161,28 @@ class Restorer:
         if key not in self.known:
             if len(self.known) > 100_000:
                 self.known.clear()
-            out = run
-            for _ in range(self.rounds):
-                better = self._once(before, out, after)
-                if better == out:
-                    break
-                out = better
-            self.known[key] = out
+            self.known[key] = self._best(before, run, after)
         return self.known[key]
 
-    def _once(self, before: str, run: str, after: str) -> str:
+    def _best(self, before: str, run: str, after: str) -> str:
+        """The likeliest text that up to so many inverse mappings in a row lead to; only UTF-8 readings are undone further."""
         cost = self.model.bits(before + run + after)
-        best, gain = run, 0.0
-        for text, utf8 in inverses(run):
-            if text.lower() == run.lower():  # no wrong decoding changes only the case
-                continue
-            won = cost - self.model.bits(before + text + after) - (self.utf8_gain if utf8 else self.swap_gain)
-            if won > gain:
-                best, gain = text, won
+        best, most, seen, now = run, 0.0, {run}, [run]
+        for _ in range(self.rounds):
+            after_this = []
+            for text in now:
+                for better, utf8 in inverses(text):
+                    if better in seen or better.lower() == run.lower():  # no wrong decoding changes only the case
+                        continue
+                    seen.add(better)
+                    if utf8:
+                        after_this.append(better)
+                    elif self.model.rarity(better) > self.model.rarity(run) + 3:
+                        continue  # frequent letters aren't what a rare one was misread as
+                    won = cost - self.model.bits(before + better + after) - (self.utf8_gain if utf8 else self.swap_gain)
+                    if won > most:
+                        best, most = better, won
+            now = after_this
         return best
 
 

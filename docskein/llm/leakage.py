@@ -37,7 +37,7 @@ def normalised(texts: list) -> tuple[np.ndarray, np.ndarray]:
     inside = word_table()[points]
     keep = inside.copy()
     keep[1:] |= inside[:-1]  # the first character after a word becomes the blank that ends it
-    ends = np.cumsum([len(t) + 1 for t in lowered])
+    ends = np.cumsum([len(t) + 1 for t in lowered], dtype=np.int64)
     count = np.concatenate([[0], np.cumsum(keep)])
     return np.where(inside, points, GAP)[keep], count[np.concatenate([[0], ends])]
 
