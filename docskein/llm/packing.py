@@ -4,7 +4,8 @@ Records are dealt by hash into shards of about shard_records, so no group grows
 than the capacity is cut into consecutive pieces, of which all but the last are full sequences of their own. The rest is
 divided by Karmarkar-Karp multiway differencing: each record starts as a partial partition of k windows; the two partial
 partitions with the greatest imbalance are merged, the fullest window of one with the emptiest of the other, until one is
-left. k starts at the least number that the total length allows and rises by one whenever a window exceeds the capacity.
+left. A window that exceeds the capacity is divided anew together with one or two emptier ones, exactly, over their few records.
+k starts at the least number that the total length allows and rises by one whenever a window still exceeds the capacity.
 Only ids and lengths are shuffled, never texts.
 
 Null or empty texts, and records of a group without a capacity of at least one, aren't placed. Repeated rows of one id in one
@@ -43,12 +44,83 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return [list(w) for w in heap[0][3]] if heap else []
 
 
+def _subset_sums(sizes: list[int], pool: list[int]) -> np.ndarray:
+    """The sum of every subset of pool; bit t of the place says whether pool[t] is in it."""
+    out = np.zeros(1, dtype=np.int64)
+    for i in pool:
+        out = np.concatenate([out, out + sizes[i]])
+    return out
+
+
+def _parted(pool: list[int], bits: int) -> tuple[list[int], list[int]]:
+    return [x for t, x in enumerate(pool) if bits >> t & 1], [x for t, x in enumerate(pool) if not bits >> t & 1]
+
+
+def _in_two(sizes: list[int], pool: list[int], capacity: int) -> tuple | None:
+    """pool as two windows within the capacity, the first as full as possible."""
+    sums = _subset_sums(sizes, pool)
+    fits = np.where((sums <= capacity) & (sums[-1] - sums <= capacity), sums, -1)
+    best = int(fits.argmax())
+    return _parted(pool, best) if fits[best] >= 0 else None
+
+
+def _in_three(sizes: list[int], pool: list[int], capacity: int, tries: int = 24) -> tuple | None:
+    """pool as three windows within the capacity, from the fullest first windows."""
+    sums = _subset_sums(sizes, pool)
+    fits = np.where(sums <= capacity, sums, -1)
+    for bits in np.argsort(-fits, kind="stable")[:tries]:
+        if fits[bits] < 0:
+            return None
+        first, rest = _parted(pool, int(bits))
+        found = _in_two(sizes, rest, capacity)
+        if found:
+            return first, *found
+    return None
+
+
+def levelled(sizes: list[int], found: list[list[int]], capacity: int, most: int = 14, partners: int = 16) -> list[list[int]] | None:
+    """Windows within the capacity, from windows of which some exceed it; null if one of them can't be helped.
+
+    Only pools of at most most records are divided anew, so the work for a window is bounded.
+    """
+    found, sums = [list(w) for w in found], [sum(sizes[i] for i in w) for w in found]
+
+    def put(places, new):
+        for i, w in zip(places, new):
+            found[i], sums[i] = w, sum(sizes[x] for x in w)
+
+    def helped(i: int) -> bool:
+        order = [j for j in sorted(range(len(found)), key=lambda j: sums[j]) if j != i]
+        for j in order:
+            if sums[i] + sums[j] > 2 * capacity:
+                break
+            new = _in_two(sizes, found[i] + found[j], capacity) if len(found[i]) + len(found[j]) <= most else None
+            if new:
+                put((i, j), new)
+                return True
+        few = order[:partners]
+        for x in range(len(few)):
+            for y in range(x):
+                j, k = few[y], few[x]
+                if sums[i] + sums[j] + sums[k] <= 3 * capacity and len(found[i]) + len(found[j]) + len(found[k]) <= most:
+                    new = _in_three(sizes, found[i] + found[j] + found[k], capacity)
+                    if new:
+                        put((i, j, k), new)
+                        return True
+        return False
+
+    for i in sorted(range(len(found)), key=lambda i: -sums[i]):
+        if sums[i] > capacity and not helped(i):
+            return None
+    return found
+
+
 def windows(sizes: list[int], capacity: int) -> list[list[int]]:
     """Near-equal windows of at most capacity; every size must fit."""
     k = -(-sum(sizes) // capacity)
     while True:
-        found = differencing(sizes, k)
-        if all(sum(sizes[i] for i in w) <= capacity for w in found):
+        found = levelled(sizes, differencing(sizes, k), capacity)
+        if found is not None:
             return [w for w in found if w]
         k += 1
 
