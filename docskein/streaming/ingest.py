@@ -31,13 +31,13 @@ def ingest_new(source: DataFrame, target: str, key: str, checkpoint: str) -> Str
 
 def call_load(events: DataFrame, at: str, name: str, value: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Calls and mean value of each window and name; rows later than the watermark no longer count on a stream."""
-    rows = events.withWatermark(at, late) if events.isStreaming else events
+    rows = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late) if events.isStreaming else events
     return rows.groupBy(F.window(at, window).alias("w"), name).agg(F.count("*").alias("calls"), F.avg(value).alias("mean")).select(F.col("w.start").alias("start"), name, "calls", "mean")
 
 
 def sessions(events: DataFrame, at: str, user: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions of each user: activity without a gap."""
-    rows = events.withWatermark(at, late) if events.isStreaming else events
+    rows = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late) if events.isStreaming else events
     return rows.groupBy(F.session_window(at, gap).alias("w"), user).agg(F.count("*").alias("events")).select(user, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
 
