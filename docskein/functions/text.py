@@ -37,10 +37,12 @@ def blank(text: Column | str) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """All runs of n tokens, each joined by one blank."""
-    if n == 1:
-        return tokens
-    return F.when(F.size(tokens) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " ")))
+    """All runs of n tokens, each joined by one blank. tokens should be a column of its own: it is read n times."""
+    out = tokens
+    for i in range(1, n):
+        rest = F.greatest(F.size(tokens) - i, F.lit(0))
+        out = F.zip_with(F.slice(out, F.lit(1), rest), F.slice(tokens, F.lit(i + 1), rest), lambda x, y: F.concat(x, F.lit(" "), y))
+    return out
 
 
 def contains_any(text: Column, needles) -> Column:
@@ -112,16 +114,15 @@ def relevance(query: Column | str, text: Column | str) -> Column:
     return F.when(F.size(q) == 0, 0.5).otherwise(F.least(F.greatest(share, F.lit(0.4)), F.lit(0.95)))
 
 
-def bleu_overlap(reference: Column | str, candidate: Column | str, n: int) -> Column:
-    """Precision of the candidate's distinct n-grams in the reference's, times the ratio of lengths (at most 1); 0 if one is empty."""
-    r, c = words(reference), words(candidate)
-    rn, cn = F.array_distinct(ngrams(r, n)), F.array_distinct(ngrams(c, n))
+def bleu_overlap(reference: Column, candidate: Column, n: int) -> Column:
+    """Precision of the candidate's distinct n-grams in the reference's, times the ratio of lengths (at most 1); 0 if one is empty. Of word arrays."""
+    rn, cn = F.array_distinct(ngrams(reference, n)), F.array_distinct(ngrams(candidate, n))
     share = ratio(F.size(F.array_intersect(rn, cn)), F.size(cn))
-    return share * F.least(F.lit(1.0), ratio(F.size(c), F.size(r)))
+    return share * F.least(F.lit(1.0), ratio(F.size(candidate), F.size(reference)))
 
 
-def rouge_sets(reference: Column | str, candidate: Column | str, n: int) -> Column:
-    """F measure over distinct n-grams."""
-    r, c = F.array_distinct(ngrams(words(reference), n)), F.array_distinct(ngrams(words(candidate), n))
+def rouge_sets(reference: Column, candidate: Column, n: int) -> Column:
+    """F measure over distinct n-grams of word arrays."""
+    r, c = F.array_distinct(ngrams(reference, n)), F.array_distinct(ngrams(candidate, n))
     both = F.size(F.array_intersect(r, c))
     return f1(ratio(both, F.size(c)), ratio(both, F.size(r)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docskein.functions import text as tx
@@ -34,9 +34,8 @@ def doc_claims(doc: Column | str) -> Column:
     )
 
 
-def factual_accuracy(code: Column | str, doc: Column | str) -> Column:
-    """struct(method_recall, hallucination_rate, construct_recall, accuracy)."""
-    f, c = code_facts(code), doc_claims(doc)
+def factual_accuracy(f: Column, c: Column) -> Column:
+    """struct(method_recall, hallucination_rate, construct_recall, accuracy) of the columns code_facts and doc_claims make."""
     n = F.size(f["methods"])
     recall = F.when(n == 0, 1.0).otherwise(tx.ratio(F.size(F.array_intersect(f["methods"], c["methods"])), n))
     claimed = F.size(c["methods"])
@@ -106,9 +105,8 @@ def usefulness(doc: Column | str) -> Column:
     return F.when(n >= 6, 1.0).when(n >= 4, 0.8).when(n >= 2, 0.6).otherwise(0.4)
 
 
-def omissions(code: Column | str, doc: Column | str) -> Column:
+def omissions(f: Column, c: Column, code: Column | str, doc: Column | str) -> Column:
     """Share of the code's methods that are documented, halved if exceptions are raised but errors aren't mentioned."""
-    f, c = code_facts(code), doc_claims(doc)
     n = F.size(f["methods"])
     base = F.when(n == 0, 1.0).otherwise(1 - tx.ratio(F.size(F.array_except(f["methods"], c["methods"])), n))
     raised = F.contains(F.upper(_text(code)), F.lit("RAISE EXCEPTION")) & ~F.rlike(F.lower(_text(doc)), F.lit("error|exception|raise"))
@@ -125,15 +123,16 @@ def coherence(doc: Column | str) -> Column:
 WEIGHTS = {"accuracy": 1.5, "hallucination": 1.5, "completeness": 1.5, "clarity": 1.0, "organization": 1.0, "usefulness": 1.0, "omissions": 1.2, "coherence": 0.8, "conciseness": 0.8}
 
 
-def nine_scores(code: Column | str, doc: Column | str) -> list[Column]:
-    """The nine scores from 0 to 5 and their weighted mean."""
-    fact = factual_accuracy(code, doc)
-    part = {
-        "accuracy": fact["accuracy"], "hallucination": 1 - fact["hallucination_rate"], "completeness": fact["method_recall"], "clarity": clarity(doc), "organization": organization(doc),
-        "usefulness": usefulness(doc), "omissions": omissions(code, doc), "coherence": coherence(doc), "conciseness": conciseness(doc),
-    }
+def nine_scores(df: DataFrame, key: str, code: str, doc: str) -> DataFrame:
+    """key, the nine scores from 0 to 5 and their weighted mean. Facts and claims are columns first, so that each is found once."""
+    facts = df.select(key, code, doc, code_facts(code).alias("f_"), doc_claims(doc).alias("c_"))
+    f, c = F.col("f_"), F.col("c_")
+    known = facts.select(key, factual_accuracy(f, c).alias("fact_"), omissions(f, c, code, doc).alias("omissions"), clarity(doc).alias("clarity"), conciseness(doc).alias("conciseness"),
+                         organization(doc).alias("organization"), usefulness(doc).alias("usefulness"), coherence(doc).alias("coherence"))
+    fact = F.col("fact_")
+    part = {"accuracy": fact["accuracy"], "hallucination": 1 - fact["hallucination_rate"], "completeness": fact["method_recall"]} | {k: F.col(k) for k in list(WEIGHTS)[3:]}
     total = sum((part[k] * w for k, w in list(WEIGHTS.items())[1:]), part["accuracy"] * WEIGHTS["accuracy"])
-    return [F.round(v * 5, 4).alias(k) for k, v in part.items()] + [F.round(total * 5 / sum(WEIGHTS.values()), 4).alias("overall")]
+    return known.select(key, *[F.round(v * 5, 4).alias(k) for k, v in part.items()], F.round(total * 5 / sum(WEIGHTS.values()), 4).alias("overall"))
 
 
 def file_kind(code: Column | str) -> Column:

@@ -19,7 +19,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75)
     """qid, doc_id, score of every pair that shares a word. docs: doc_id, text; queries: qid, text.
 
     Only words of the queries are kept right behind the scan, so the postings that are shuffled follow the queries and not
-    the vocabulary. Null and empty texts count as documents of no words; repeated rows of a document id count once each.
+    the vocabulary. They are dealt by document once: term counts, the sum of a pair's weights and the first part of a top-k
+    then happen in place, and only the best hits are shuffled again. Null and empty texts count as documents of no words; repeated rows of a document id count once each.
     """
     tokens = docs.select("doc_id", tx.words("text").alias("words"))
     stats = tokens.agg(F.count("*").alias("docs"), F.avg(F.size("words")).alias("mean_length"))
@@ -28,14 +29,15 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75)
     postings = (
         tokens.select("doc_id", F.size("words").alias("length"), F.explode("words").alias("term"))
         .join(vocabulary, "term", "left_semi")
-        .groupBy("term", "doc_id", "length")
+        .repartition("doc_id")
+        .groupBy("doc_id", "length", "term")
         .agg(F.count("*").alias("tf"))
     )
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     tf, rel = F.col("tf"), F.col("length") / F.col("mean_length")
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = postings.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "doc_id", (idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * rel))).alias("weight"))  # stats is one row
-    return asked.join(weighted, "term").groupBy("qid", "doc_id").agg(F.round(F.sum("weight"), 6).alias("score"))
+    return weighted.join(asked, "term").groupBy("qid", "doc_id").agg(F.round(F.sum("weight"), 6).alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:

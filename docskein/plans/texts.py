@@ -114,10 +114,9 @@ def answer_pairs(spark, folder):
 )
 def f_overlap_scores(spark, folder):
     """Open answers measured against closed ones."""
-    e = answer_pairs(spark, folder)
-    return e.select(
-        "question_id", *[F.round(tx.bleu_overlap("r", "c", n), 6).alias(f"bleu_{n}") for n in (1, 2)], *[F.round(tx.rouge_sets("r", "c", n), 6).alias(f"rouge_{n}") for n in (1, 2)]
-    )
+    e = answer_pairs(spark, folder).select("question_id", tx.words("r").alias("r"), tx.words("c").alias("c"))
+    r, c = F.col("r"), F.col("c")
+    return e.select("question_id", *[F.round(tx.bleu_overlap(r, c, n), 6).alias(f"bleu_{n}") for n in (1, 2)], *[F.round(tx.rouge_sets(r, c, n), 6).alias(f"rouge_{n}") for n in (1, 2)])
 
 
 @query(
@@ -126,7 +125,8 @@ def f_overlap_scores(spark, folder):
  SELECT question_id, round(coverage, 6) AS coverage, round(precision, 6) AS precision, round(CASE WHEN coverage + precision = 0 THEN 0 ELSE 2 * coverage * precision / (coverage + precision) END, 6) AS f1 FROM x"""
 )
 def m_set_overlap(spark, folder):
-    s = answer_pairs(spark, folder).select("question_id", tx.set_overlap(tx.terms("r"), tx.terms("c")).alias("s"))
+    t = answer_pairs(spark, folder).select("question_id", tx.terms("r").alias("r"), tx.terms("c").alias("c"))
+    s = t.select("question_id", tx.set_overlap(F.col("r"), F.col("c")).alias("s"))
     return s.select("question_id", *[F.round(F.col("s")[k], 6).alias(k) for k in ("coverage", "precision", "f1")])
 
 
@@ -186,13 +186,14 @@ FACTS = r"""f AS (SELECT sample_id, upper(coalesce(code, '')) AS c, upper(coales
 
 @query(f"WITH {FACTS} SELECT sample_id, round(recall, 4) AS method_recall, round(invented, 4) AS hallucination_rate, round(constructs, 4) AS construct_recall, round((recall + constructs) / 2, 4) AS accuracy FROM n")
 def d_factual_accuracy(spark, folder):
-    return table(spark, folder, "dataset").select("sample_id", dq.factual_accuracy("code", "documentation").alias("x")).select("sample_id", "x.*")
+    known = table(spark, folder, "dataset").select("sample_id", dq.code_facts("code").alias("f"), dq.doc_claims("documentation").alias("c"))
+    return known.select("sample_id", dq.factual_accuracy(F.col("f"), F.col("c")).alias("x")).select("sample_id", "x.*")
 
 
 @query()
 def d_nine_scores(spark, folder):
     """The nine documentation scores and the overall one (its parts have SQL of their own)."""
-    return table(spark, folder, "dataset").select("sample_id", *dq.nine_scores("code", "documentation"))
+    return dq.nine_scores(table(spark, folder, "dataset"), "sample_id", "code", "documentation")
 
 
 LEVELS = r"""l AS (SELECT sample_id, coalesce(documentation, '') AS d, list_transform(regexp_extract_all(coalesce(documentation, ''), '(?m)^(#{1,6})[ \t]', 1), lambda x: length(x)) AS v FROM dataset)"""

@@ -137,9 +137,10 @@ def test_questions(spark):
 
 def test_quality(spark):
     df = spark.createDataFrame([(None, None), ("METHOD read_x.\nENDMETHOD.", "#### READ_X\nReads. Error: none.")], "c string, d string")
-    rows = df.select(*dq.nine_scores("c", "d")).collect()
-    assert all(0 <= v <= 5 for r in rows for v in r)
-    assert df.select(dq.factual_accuracy("c", "d").alias("x")).collect()[1].x.method_recall == 1.0
+    rows = dq.nine_scores(df.withColumn("k", F.lit(1)), "k", "c", "d").drop("k").collect()
+    assert len(rows) == 2 and all(0 <= v <= 5 for r in rows for v in r)
+    facts = df.select(dq.code_facts("c").alias("f"), dq.doc_claims("d").alias("g"))
+    assert facts.select(dq.factual_accuracy(F.col("f"), F.col("g")).alias("x")).collect()[1].x.method_recall == 1.0
 
 
 def test_judging(spark):
