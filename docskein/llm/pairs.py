@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import random
 import re
-import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -112,8 +111,7 @@ def content(text: str | None) -> str:
     """What is left of a text without invisible characters, punctuation, symbols and placeholders."""
     if not text:
         return ""
-    kept = "".join(c if c.isalnum() else " " for c in text if unicodedata.category(c) not in ("Cf", "Cc") or c in "\n\t\r")
-    kept = " ".join(kept.split()).lower()
+    kept = " ".join(re.sub(r"[\W_]+", " ", text).split()).lower()
     return "" if kept in PLACEHOLDERS else kept
 
 
@@ -341,7 +339,7 @@ def broken_examples(pairs: list[tuple], seed: int = 7) -> list[tuple[str | None,
 class Classifier:
     """Weights of each defect, thresholds, and the word lists of the features."""
 
-    def __init__(self, pairs: list[tuple], epochs: int = 6, rate: float = 0.15, seed: int = 7):
+    def __init__(self, pairs: list[tuple], epochs: int = 6, rate: float = 0.25, seed: int = 7):
         texts = [a for _, a in pairs if a] + [q for q, _ in pairs if q]
         in_texts = Counter(w for t in texts for w in set(words_of(t)) if not w.isdigit())
         phrases = {w for lists in (REFUSALS, RESERVATIONS) for said in lists.values() for x in said for w in words_of(x)}
@@ -419,7 +417,7 @@ def _fit(weights: np.ndarray, rows: list, target: np.ndarray, train: np.ndarray,
     """Logistic regressions on sparse rows by Adagrad; allowed(features) masks the gradient."""
     seen = np.full(weights.shape, 1e-2)
     for _ in range(epochs):
-        for batch in np.array_split(rng.permutation(train), max(1, len(train) // 64)):
+        for batch in np.array_split(rng.permutation(train), max(1, len(train) // 160)):
             at = np.concatenate([rows[i][0] for i in batch])
             value = np.concatenate([rows[i][1] for i in batch])
             size = [len(rows[i][0]) for i in batch]
