@@ -40,6 +40,64 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75)
     return weighted.join(asked, "term").groupBy("qid", "doc_id").agg(F.round(F.sum("weight"), 6).alias("score"))
 
 
+def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, block: int = 2048) -> DataFrame:
+    """The k best of bm25 for a stated set of queries, with their rank, without ever forming the pairs of queries and documents.
+
+    Counts of the queries' words come from one small aggregation. Then the documents are scanned in place, once for each block
+    of at most block queries: a task multiplies the term weights of its batch with the queries' terms and passes on the k best
+    of the batch for each query (and what ties with the last of them). Nulls and repeated rows are treated as in bm25.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    spark = docs.sparkSession
+    tokens = docs.select("doc_id", tx.words("text").alias("words"))
+    asked = queries.select("qid", tx.terms("text").alias("terms")).where(F.size("terms") > 0)
+    n, mean = tokens.agg(F.count("*"), F.avg(F.size("words"))).first()
+    blocks = max(1, -(-asked.count() // block))
+    qid_type = to_arrow_type(queries.schema["qid"].dataType)
+    kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double"
+    out = None
+    for i in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
+        rows = part.orderBy("qid").collect()
+        vocabulary = part.select(F.explode("terms").alias("term")).distinct()
+        found = tokens.select(F.explode(F.array_distinct("words")).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).collect()
+        df = {r.term: r.df for r in found}  # no more than the words of a block of queries
+        terms = sorted(df)
+        place = {t: j for j, t in enumerate(terms)}
+        wanted = np.zeros((len(terms), len(rows)))
+        for column, r in enumerate(rows):
+            wanted[[place[t] for t in r.terms if t in place], column] = 1
+        counts = np.array([df[t] for t in terms], dtype=np.float64)
+        shared = spark.sparkContext.broadcast((terms, np.log(1 + (n - counts + 0.5) / (counts + 0.5)), wanted, [r.qid for r in rows]))
+
+        def scan(batches, shared=shared):
+            terms, idf, wanted, qids = shared.value
+            known = pa.array(terms, pa.string())
+            for whole in batches:
+                for begin in range(0, whole.num_rows, 512):
+                    batch = whole.slice(begin, 512)
+                    lists = batch.column(1)
+                    length = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+                    at = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
+                    cell = np.repeat(np.arange(len(length)) * len(terms), length)[at >= 0] + at[at >= 0]
+                    if not len(cell):
+                        continue
+                    tf = np.bincount(cell, minlength=len(length) * len(terms)).reshape(len(length), len(terms)).astype(np.float64)
+                    weight = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[:, None] / mean))
+                    score = np.round(weight @ wanted, 6).T
+                    keep = min(k, score.shape[1])
+                    floor = -np.partition(-score, keep - 1, axis=1)[:, keep - 1 : keep]
+                    q, d = np.nonzero((score >= floor) & (score > 0))
+                    yield pa.RecordBatch.from_arrays([pa.array([qids[x] for x in q], qid_type), batch.column(0).take(pa.array(d)), pa.array(score[q, d])], ["qid", "doc_id", "score"])
+
+        hits = tokens.mapInArrow(scan, kinds)
+        out = hits if out is None else out.union(hits)
+    return top_k(out, k)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -59,7 +59,7 @@ def p_positive_hits(spark, folder):
 def r_by_collection(spark, folder):
     """Only documents of one collection, a filter that reaches the scan."""
     code = table(spark, folder, "documents").where("doc_type = 'code'").select("doc_id", "text")
-    return rt.top_k(rt.bm25(code, golden(spark, folder)), 5)
+    return rt.bm25_top_k(code, golden(spark, folder), 5)
 
 
 PARTS = r"""parts AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS part, trim(p) AS text FROM (SELECT item_id, unnest(x) AS p, unnest(range(len(x))) AS i FROM
@@ -73,7 +73,7 @@ PARTS = r"""parts AS (SELECT item_id, row_number() OVER (PARTITION BY item_id OR
 def r_sub_query_fanout(spark, folder):
     """Each part of a question is a query of its own; a document counts with its best part."""
     parts = table(spark, folder, "golden_dataset").select("item_id", F.posexplode(un.sub_questions("question")).alias("part", "text"))
-    hits = rt.top_k(rt.bm25(documents(spark, folder), parts.select((F.col("item_id") * 10 + F.col("part")).alias("qid"), "text")), 2)
+    hits = rt.bm25_top_k(documents(spark, folder), parts.select((F.col("item_id") * 10 + F.col("part")).alias("qid"), "text"), 2)
     best = hits.groupBy(F.floor(F.col("qid") / 10).alias("item_id"), "doc_id").agg(F.max("score").alias("score"))
     return best.withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("score").desc(), "doc_id")))
 
@@ -226,7 +226,7 @@ def f_bullet_tables(spark, folder):
 def f_context_tiers(spark, folder):
     """Chunks found for golden questions ordered by how well they serve a simple question, the best five, with their relevant lines."""
     docs = chunk_texts(spark, folder)
-    hits = rt.top_k(rt.bm25(docs, golden(spark, folder)), 10).join(docs.select("doc_id", "text"), "doc_id").join(golden(spark, folder).withColumnRenamed("text", "question"), "qid")
+    hits = rt.bm25_top_k(docs, golden(spark, folder), 10).join(docs.select("doc_id", "text"), "doc_id").join(golden(spark, folder).withColumnRenamed("text", "question"), "qid")
     tiers = hits.withColumn("tier", F.round(cl.tier(F.col("question"), F.col("text")), 4))
     order = Window.partitionBy("qid").orderBy(F.col("tier").desc(), "rank")
     return tiers.withColumn("place", F.row_number().over(order)).where("place <= 5").select("qid", "doc_id", "tier", "place", cl.relevant_lines(F.col("question"), F.col("text")).alias("lines"))

@@ -50,7 +50,7 @@ def golden(spark, folder, column="question"):
 
 
 def bm25_run(spark, folder, k=10, column="question"):
-    return rt.top_k(rt.bm25(documents(spark, folder), golden(spark, folder, column)), k)
+    return rt.bm25_top_k(documents(spark, folder), golden(spark, folder, column), k)
 
 
 def qrels(spark, folder):
@@ -181,7 +181,7 @@ def r_limits(spark, folder):
 def r_limit_by_question(spark, folder):
     """As many hits as each question's kind asks for."""
     limits = table(spark, folder, "golden_dataset").select(F.col("item_id").alias("qid"), rt.retrieval_limit("question", 5).alias("k"))
-    return rt.top_k(rt.bm25(documents(spark, folder), golden(spark, folder)).join(limits, "qid"), F.col("k")).drop("k")
+    return rt.bm25_top_k(documents(spark, folder), golden(spark, folder), 30).join(limits, "qid").where("rank <= k").drop("k")
 
 
 @query(
@@ -219,7 +219,7 @@ CONTEXTS = f"""WITH c AS ({LATEST}), {bm25_sql('SELECT chunk_id AS doc_id, doc A
 @query(f"{CONTEXTS} SELECT *, CASE WHEN has_code THEN 'code' ELSE 'documentation' END AS source_type FROM ctx")
 def r_contexts(spark, folder):
     docs = chunk_texts(spark, folder)
-    return rt.contexts(rt.top_k(rt.bm25(docs, golden(spark, folder)), 6), docs)
+    return rt.contexts(rt.bm25_top_k(docs, golden(spark, folder), 6), docs)
 
 
 @query(
@@ -228,7 +228,7 @@ def r_contexts(spark, folder):
 )
 def r_context_string(spark, folder):
     docs = chunk_texts(spark, folder)
-    return rt.context_string(rt.contexts(rt.top_k(rt.bm25(docs, golden(spark, folder)), 6), docs))
+    return rt.context_string(rt.contexts(rt.bm25_top_k(docs, golden(spark, folder), 6), docs))
 
 
 @query(

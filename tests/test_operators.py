@@ -112,6 +112,19 @@ def test_bm25_and_fusion(spark):
     assert [r.doc_id for r in rt.hybrid(a, b.limit(0), 2).orderBy("rank").collect()] == [1, 2]
 
 
+@pytest.mark.parametrize("block", [2048, 2])
+def test_bm25_top_k_like_bm25(spark, block):
+    import random
+
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    docs = spark.createDataFrame([(i, text(rng.choice((3, 9, 30)))) for i in range(80)] + [(80, None), (81, "")], "doc_id int, text string")
+    queries = spark.createDataFrame([(i, text(4)) for i in range(7)] + [(7, None), (8, "zzz")], "qid int, text string")
+    want = {tuple(r) for r in rt.top_k(rt.bm25(docs, queries), 5).select("qid", "doc_id", "score", "rank").collect()}
+    assert {tuple(r) for r in rt.bm25_top_k(docs, queries, 5, block=block).select("qid", "doc_id", "score", "rank").collect()} == want
+    assert rt.bm25_top_k(docs.limit(0), queries, 5).count() == 0 and rt.bm25_top_k(docs, queries.limit(0), 5).count() == 0
+
+
 def test_dense_ties(spark):
     vecs = spark.createDataFrame([(3, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (4, None), (5, [1.0]), (6, [0.0, 0.0])], "doc_id int, vec array<float>")
     asked = spark.createDataFrame([(9, [1.0, 0.0])], "qid int, vec array<float>")
