@@ -44,20 +44,20 @@ def statistics(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, mean, std (population), least, greatest and median of a value in each group; null values don't count."""
     v = F.col(value)
     return df.groupBy(*by).agg(
-        F.count(v).alias("n"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_pop(v), 4).alias("std"), F.min(v).alias("least"), F.max(v).alias("greatest"), F.round(F.median(v), 4).alias("median")
+        F.count(v).alias("n"), F.round(F.avg(v) + 1e-9, 4).alias("mean"), F.round(F.stddev_pop(v), 4).alias("std"), F.min(v).alias("least"), F.max(v).alias("greatest"), F.round(F.median(v) + 1e-9, 4).alias("median")
     )
 
 
 def component_statistics(cells: DataFrame) -> DataFrame:
     """Mean and count of scores by component and metric, and by question type too, in one pass with grouping sets."""
     return cells.groupingSets([["component", "metric"], ["question_type", "component", "metric"]], "question_type", "component", "metric").agg(
-        F.grouping("question_type").cast("int").alias("all_types"), F.count("score").alias("n"), F.round(F.avg("score"), 4).alias("mean")
+        F.grouping("question_type").cast("int").alias("all_types"), F.count("score").alias("n"), F.round(F.avg("score") + 1e-9, 4).alias("mean")
     )
 
 
 def comparison_table(cells: DataFrame, models: list[str]) -> DataFrame:
     """A row for each metric with mean and standard deviation of each model."""
-    return cells.groupBy("metric").pivot("model", models).agg(F.round(F.avg("score"), 4).alias("mean"), F.round(F.stddev_pop("score"), 4).alias("std"))
+    return cells.groupBy("metric").pivot("model", models).agg(F.round(F.avg("score") + 1e-9, 4).alias("mean"), F.round(F.stddev_pop("score"), 4).alias("std"))
 
 
 def balance(df: DataFrame, by: str) -> DataFrame:
@@ -89,14 +89,14 @@ def usage_summary(calls: DataFrame) -> DataFrame:
     """Calls, tokens, errors, error rate and mean latency of each model, and over all. calls: model, tokens_in, tokens_out, error, latency."""
     return calls.rollup("model").agg(
         F.grouping("model").cast("int").alias("all_models"), F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"),
-        F.count(F.when(F.col("error"), 1)).alias("errors"), F.round(F.avg(F.col("error").cast("int")), 4).alias("error_rate"), F.round(F.avg("latency"), 4).alias("mean_latency"),
+        F.count(F.when(F.col("error"), 1)).alias("errors"), F.round(F.avg(F.col("error").cast("int")) + 1e-9, 4).alias("error_rate"), F.round(F.avg("latency") + 1e-9, 4).alias("mean_latency"),
     )
 
 
 def timer_summary(times: DataFrame) -> DataFrame:
     """Count, total, mean, least, greatest and last value of each timer. times: name, seconds, at, seq."""
     last = F.max_by("seconds", F.struct("at", "seq"))
-    return times.groupBy("name").agg(F.count("*").alias("n"), F.round(F.sum("seconds"), 4).alias("total"), F.round(F.avg("seconds"), 4).alias("mean"), F.min("seconds").alias("least"), F.max("seconds").alias("greatest"), last.alias("last"))
+    return times.groupBy("name").agg(F.count("*").alias("n"), F.round(F.sum("seconds"), 4).alias("total"), F.round(F.avg("seconds") + 1e-9, 4).alias("mean"), F.min("seconds").alias("least"), F.max("seconds").alias("greatest"), last.alias("last"))
 
 
 def window_load(times: DataFrame, seconds: int, limit: int) -> DataFrame:

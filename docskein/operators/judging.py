@@ -16,8 +16,8 @@ def _rates() -> list:
     side = lambda x: F.count(F.when(F.col("winner") == x, 1))
     out = [F.count("*").alias("judgements"), F.count_distinct("question_id").alias("questions")]
     for x, name in (("open_source", "open"), ("closed_source", "closed"), ("tie", "tie")):
-        out += [side(x).alias(f"{name}_wins"), F.round(side(x) / F.count("*"), 4).alias(f"{name}_rate")]
-    return [*out, F.round(F.avg("confidence"), 4).alias("confidence")]
+        out += [side(x).alias(f"{name}_wins"), F.round(side(x) / F.count("*") + 1e-9, 4).alias(f"{name}_rate")]
+    return [*out, F.round(F.avg("confidence") + 1e-9, 4).alias("confidence")]
 
 
 def win_rates(judged: DataFrame, *by: str) -> DataFrame:
@@ -41,14 +41,14 @@ def confidence_bands(judged: DataFrame) -> DataFrame:
     """winner, and its judgements with high (> 0.8), middle (0.6 to 0.8) and low confidence, and the mean."""
     c = F.col("confidence")
     return judged.groupBy("winner").agg(
-        F.count(F.when(c > 0.8, 1)).alias("high"), F.count(F.when((c >= 0.6) & (c <= 0.8), 1)).alias("middle"), F.count(F.when(c < 0.6, 1)).alias("low"), F.round(F.avg(c), 4).alias("mean")
+        F.count(F.when(c > 0.8, 1)).alias("high"), F.count(F.when((c >= 0.6) & (c <= 0.8), 1)).alias("middle"), F.count(F.when(c < 0.6, 1)).alias("low"), F.round(F.avg(c) + 1e-9, 4).alias("mean")
     )
 
 
 def verdict(judged: DataFrame) -> DataFrame:
     """One row: both rates, the gap and what it means, and the most confident judge."""
     total = judged.agg(F.avg((F.col("winner") == "open_source").cast("int")).alias("open"), F.avg((F.col("winner") == "closed_source").cast("int")).alias("closed"))
-    by_judge = judged.groupBy("judge").agg(F.round(F.avg("confidence"), 6).alias("c")).agg(F.max_by("judge", F.struct("c", "judge")).alias("most_confident"))
+    by_judge = judged.groupBy("judge").agg(F.round(F.avg("confidence") + 1e-9, 6).alias("c")).agg(F.max_by("judge", F.struct("c", "judge")).alias("most_confident"))
     gap = F.abs(F.col("open") - F.col("closed"))
     return total.join(F.broadcast(by_judge)).select(F.round("open", 4).alias("open_rate"), F.round("closed", 4).alias("closed_rate"), F.round(gap, 4).alias("gap"), F.when(gap > 0.15, "clear").when(gap > 0.05, "slight").otherwise("none").alias("difference"), "most_confident")
 
@@ -62,4 +62,4 @@ def score_columns(judged: DataFrame) -> DataFrame:
 
 def position_bias(judged: DataFrame) -> DataFrame:
     """judge, judgements that aren't ties, and the share that chose the first position. judged: judge, choice (A, B or tie)."""
-    return judged.where("choice IN ('A', 'B')").groupBy("judge").agg(F.count("*").alias("judgements"), F.round(F.avg((F.col("choice") == "A").cast("int")), 4).alias("first_share"))
+    return judged.where("choice IN ('A', 'B')").groupBy("judge").agg(F.count("*").alias("judgements"), F.round(F.avg((F.col("choice") == "A").cast("int")) + 1e-9, 4).alias("first_share"))

@@ -13,9 +13,9 @@ from docskein.plans.registry import query, table
 ROWS = "e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY evaluation_id ORDER BY loaded_at DESC) AS rn_ FROM evaluation_result) WHERE rn_ = 1)"
 JUDGED = f"""{ROWS}, j AS (SELECT evaluation_id, question_id, lower(trim(judge_model)) AS judge, coalesce(question_type, 'unknown') AS question_type, actual_winner AS winner, confidence, scores_a, scores_b FROM e WHERE actual_winner IS NOT NULL)"""
 RATES = """count(*) AS judgements, count(DISTINCT question_id) AS questions,
- count(*) FILTER (winner = 'open_source') AS open_wins, round(count(*) FILTER (winner = 'open_source') / count(*), 4) AS open_rate,
- count(*) FILTER (winner = 'closed_source') AS closed_wins, round(count(*) FILTER (winner = 'closed_source') / count(*), 4) AS closed_rate,
- count(*) FILTER (winner = 'tie') AS tie_wins, round(count(*) FILTER (winner = 'tie') / count(*), 4) AS tie_rate, round(avg(confidence), 4) AS confidence"""
+ count(*) FILTER (winner = 'open_source') AS open_wins, round(count(*) FILTER (winner = 'open_source') / count(*) + 1e-9, 4) AS open_rate,
+ count(*) FILTER (winner = 'closed_source') AS closed_wins, round(count(*) FILTER (winner = 'closed_source') / count(*) + 1e-9, 4) AS closed_rate,
+ count(*) FILTER (winner = 'tie') AS tie_wins, round(count(*) FILTER (winner = 'tie') / count(*) + 1e-9, 4) AS tie_rate, round(avg(confidence) + 1e-9, 4) AS confidence"""
 BLANK = "regexp_replace(coalesce({0}, ''), '\\s+', '', 'g') = ''"
 
 
@@ -53,13 +53,13 @@ def g_type_judge_matrix(spark, folder):
     return jd.type_judge_matrix(judged(spark, folder))
 
 
-@query(f"WITH {JUDGED} SELECT winner, count(*) FILTER (confidence > 0.8) AS high, count(*) FILTER (confidence BETWEEN 0.6 AND 0.8) AS middle, count(*) FILTER (confidence < 0.6) AS low, round(avg(confidence), 4) AS mean FROM j GROUP BY 1")
+@query(f"WITH {JUDGED} SELECT winner, count(*) FILTER (confidence > 0.8) AS high, count(*) FILTER (confidence BETWEEN 0.6 AND 0.8) AS middle, count(*) FILTER (confidence < 0.6) AS low, round(avg(confidence) + 1e-9, 4) AS mean FROM j GROUP BY 1")
 def g_confidence_bands(spark, folder):
     return jd.confidence_bands(judged(spark, folder))
 
 
 @query(
-    f"""WITH {JUDGED}, t AS (SELECT avg((winner = 'open_source')::INT) AS o, avg((winner = 'closed_source')::INT) AS c FROM j), b AS (SELECT judge, round(avg(confidence), 6) AS c FROM j GROUP BY 1)
+    f"""WITH {JUDGED}, t AS (SELECT avg((winner = 'open_source')::INT) AS o, avg((winner = 'closed_source')::INT) AS c FROM j), b AS (SELECT judge, round(avg(confidence) + 1e-9, 6) AS c FROM j GROUP BY 1)
  SELECT round(o, 4) AS open_rate, round(t.c, 4) AS closed_rate, round(abs(o - t.c), 4) AS gap, CASE WHEN abs(o - t.c) > 0.15 THEN 'clear' WHEN abs(o - t.c) > 0.05 THEN 'slight' ELSE 'none' END AS difference,
  (SELECT judge FROM b ORDER BY c DESC NULLS LAST, judge DESC LIMIT 1) AS most_confident FROM t"""
 )
@@ -77,7 +77,7 @@ def g_score_columns(spark, folder):
 
 @query(
     f"""WITH {ROWS}, c AS (SELECT lower(trim(judge_model)) AS judge, upper(regexp_replace(judge_choice, '[^A-Za-z]', '', 'g')) AS choice FROM e)
- SELECT judge, count(*) AS judgements, round(avg((choice = 'A')::INT), 4) AS first_share FROM c WHERE choice IN ('A', 'B') GROUP BY 1"""
+ SELECT judge, count(*) AS judgements, round(avg((choice = 'A')::INT) + 1e-9, 4) AS first_share FROM c WHERE choice IN ('A', 'B') GROUP BY 1"""
 )
 def g_position_bias(spark, folder):
     e = rows(spark, folder).select(F.lower(F.trim("judge_model")).alias("judge"), F.upper(F.regexp_replace("judge_choice", "[^A-Za-z]", "")).alias("choice"))
@@ -132,7 +132,7 @@ def p_pair_validation(spark, folder):
     return each.where(tx.blank("o") | tx.blank("c")).select("question_id", tx.blank("o").alias("open_missing"), tx.blank("c").alias("closed_missing"))
 
 
-@query("SELECT question_type, count(confidence) AS n, round(avg(confidence), 4) AS mean, round(stddev_pop(confidence), 4) AS std, min(confidence) AS least, max(confidence) AS greatest, round(median(confidence), 4) AS median FROM evaluation_result GROUP BY 1")
+@query("SELECT question_type, count(confidence) AS n, round(avg(confidence) + 1e-9, 4) AS mean, round(stddev_pop(confidence), 4) AS std, min(confidence) AS least, max(confidence) AS greatest, round(median(confidence) + 1e-9, 4) AS median FROM evaluation_result GROUP BY 1")
 def g_statistics(spark, folder):
     return ev.statistics(table(spark, folder, "evaluation_result"), ["question_type"], "confidence")
 
@@ -150,23 +150,23 @@ def cells(spark, folder):
     return part("scores_a", "a").unionByName(part("scores_b", "b")).withColumn("component", component)
 
 
-@query(f"WITH {CELLS} SELECT question_type, component, metric, grouping(question_type)::INT AS all_types, count(score) AS n, round(avg(score), 4) AS mean FROM cells GROUP BY GROUPING SETS ((component, metric), (question_type, component, metric))")
+@query(f"WITH {CELLS} SELECT question_type, component, metric, grouping(question_type)::INT AS all_types, count(score) AS n, round(avg(score) + 1e-9, 4) AS mean FROM cells GROUP BY GROUPING SETS ((component, metric), (question_type, component, metric))")
 def g_component_statistics(spark, folder):
     return ev.component_statistics(cells(spark, folder))
 
 
-@query(f"WITH {CELLS} SELECT metric, round(avg(score) FILTER (model = 'a'), 4) AS a_mean, round(stddev_pop(score) FILTER (model = 'a'), 4) AS a_std, round(avg(score) FILTER (model = 'b'), 4) AS b_mean, round(stddev_pop(score) FILTER (model = 'b'), 4) AS b_std FROM cells GROUP BY 1")
+@query(f"WITH {CELLS} SELECT metric, round(avg(score) FILTER (model = 'a') + 1e-9, 4) AS a_mean, round(stddev_pop(score) FILTER (model = 'a'), 4) AS a_std, round(avg(score) FILTER (model = 'b') + 1e-9, 4) AS b_mean, round(stddev_pop(score) FILTER (model = 'b'), 4) AS b_std FROM cells GROUP BY 1")
 def g_comparison_table(spark, folder):
     return ev.comparison_table(cells(spark, folder), ["a", "b"])
 
 
 @query(
-    f"""WITH {CELLS}, m AS (SELECT round(avg(score) FILTER (component = 'retriever'), 4) AS retriever, round(avg(score) FILTER (component = 'generator'), 4) AS generator FROM cells)
+    f"""WITH {CELLS}, m AS (SELECT round(avg(score) FILTER (component = 'retriever') + 1e-9, 4) AS retriever, round(avg(score) FILTER (component = 'generator') + 1e-9, 4) AS generator FROM cells)
  SELECT retriever, generator, round(abs(retriever - generator), 4) AS gap, CASE WHEN abs(retriever - generator) <= 0.1 THEN 'excellent' WHEN abs(retriever - generator) <= 0.2 THEN 'good' WHEN abs(retriever - generator) <= 0.3 THEN 'fair' ELSE 'unbalanced' END AS rating FROM m"""
 )
 def g_component_gap(spark, folder):
     c = cells(spark, folder)
-    mean = lambda x: F.round(F.avg(F.when(F.col("component") == x, F.col("score"))), 4).alias(x)
+    mean = lambda x: F.round(F.avg(F.when(F.col("component") == x, F.col("score"))) + 1e-9, 4).alias(x)
     gap = F.abs(F.col("retriever") - F.col("generator"))
     return c.agg(mean("retriever"), mean("generator")).select("retriever", "generator", F.round(gap, 4).alias("gap"), F.when(gap <= 0.1, "excellent").when(gap <= 0.2, "good").when(gap <= 0.3, "fair").otherwise("unbalanced").alias("rating"))
 

@@ -15,7 +15,7 @@ def times(spark, folder):
 
 @query(
     """SELECT event_type AS model, grouping(event_type)::INT AS all_models, count(*) AS calls, sum(k)::BIGINT AS tokens_in, sum(greatest(k * 4, 100))::BIGINT AS tokens_out, count(*) FILTER (event_type = 'error') AS errors,
- round(avg((event_type = 'error')::INT), 4) AS error_rate, round(avg(value), 4) AS mean_latency FROM (SELECT *, (props->>'$.k')::INT AS k FROM events) GROUP BY ROLLUP (event_type)"""
+ round(avg((event_type = 'error')::INT) + 1e-9, 4) AS error_rate, round(avg(value) + 1e-9, 4) AS mean_latency FROM (SELECT *, (props->>'$.k')::INT AS k FROM events) GROUP BY ROLLUP (event_type)"""
 )
 def g_usage_summary(spark, folder):
     e = table(spark, folder, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
@@ -23,7 +23,7 @@ def g_usage_summary(spark, folder):
     return ev.usage_summary(calls)
 
 
-@query("SELECT event_type AS name, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 4) AS mean, min(value) AS least, max(value) AS greatest, arg_max(value, (ts, event_id)) AS last FROM events GROUP BY 1")
+@query("SELECT event_type AS name, count(*) AS n, round(sum(value), 4) AS total, round(avg(value) + 1e-9, 4) AS mean, min(value) AS least, max(value) AS greatest, arg_max(value, (ts, event_id)) AS last FROM events GROUP BY 1")
 def g_timer_summary(spark, folder):
     return ev.timer_summary(times(spark, folder))
 
@@ -54,7 +54,7 @@ def g_last_known(spark, folder):
     return ev.last_known(e)
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS calls, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS calls, round(avg(value) + 1e-9, 6) AS mean FROM events GROUP BY 1, 2")
 def t_call_load(spark, folder):
     return ingest.call_load(table(spark, folder, "events"), "ts", "event_type", "value").withColumn("mean", F.round("mean", 6))
 
