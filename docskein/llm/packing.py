@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docskein.session import stage
+
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
     """The places of sizes in k windows, by multiway differencing."""
@@ -160,6 +162,7 @@ def pack(df: DataFrame, id_col: str, text_col: str, group_col: str, capacities:
         return pd.DataFrame({"group": pdf["group"].iloc[0], "shard": pdf["shard"].iloc[0], "window": window, "place": place, "id": pdf["id"].to_numpy()[row], "start": start, "length": size})
 
     filled = dealt.groupBy("group", "shard").applyInPandas(fill, f"group {group_kind}, shard long, window long, place int, id {kind}, start long, length long")
+    filled = stage(filled, "packed")  # read twice below
     # Sequences are numbered through the shards of a group: a running sum over one row for each shard.
     used = filled.groupBy("group", "shard").agg((F.max("window") + 1).alias("used"))
     before = Window.partitionBy("group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
