@@ -1,24 +1,18 @@
-"""Pairs of texts with similar word sets, by meet-in-the-middle ball hashing.
+"""Pairs of texts with similar word sets, by meet-in-the-middle ball hashing that misses no pair.
 
 The overlap of two texts is the number of distinct words they share divided by the number of distinct words in either.
 
-1. Word counts over all texts are kept in a table of fixed size (65,536 buckets of word hashes), which gives each word a
-   weight: 1 for a rare word, falling with the count for a common one.
-2. A fingerprint is the ``centre`` words of a text that come first in a weighted random order; each text has ``tables``
-   fingerprints from independent orders. Two fingerprints that differ by one replaced word lie within radius two.
-3. Every fingerprint emits all its variants within half the radius, which are its subsets with one word left out. Two
-   balls meet in a common variant, so an equality shuffle on variants brings the texts together.
+1. Word counts over all texts are kept in a table of fixed size (2^18 buckets of word hashes). They only set the order of
+   the words, rare ones first, and so the cost; no result depends on them.
+2. A text of n words that keeps the overlap with another has at most e = n - ceil(threshold * n) words which the other lacks. So
+   the first k words they share are among its first e + k. Its fingerprint is these words, and its ball all sets of k of them.
+3. Two balls meet in a common variant, the set of the first k shared words; an equality shuffle on variants brings the
+   texts together. k begins at 1. A variant of more than ``crowd`` classes isn't paired out: each member passes it on with one
+   more of its words (k + 1), and so on up to ``DEPTH`` words, where all are paired out.
 4. Texts with equal word sets are one class before anything is emitted, so a group of copies costs one fingerprint.
-5. Pairs that share a variant are deduplicated. A parity sketch of 128 bits bounds the number of differing words from
-   below and throws out pairs that cannot reach the threshold (it never throws out one that can); the rest are verified
-   on their whole texts.
-
-A variant shared by more than ``crowd`` classes isn't paired out: its members are joined again on (variant, word) for the
-words of an exact prefix filter at the threshold, so none of their links is lost.
-
-What may be lost is a pair that meets in no table. With weights this has a probability, not a bound: a pair that keeps
-the share j of its weight meets in a table with j^2 (1 + 2(1-j) + 1.5(1-j)^2), i.e. for ten tables it is missed in one
-case of 10,000 at j = 0.5 and one of 500,000 at j = 0.6.
+5. Where two texts meet, their sizes and the places of the variant's last word bound the words they can share, and pairs that
+   cannot reach the threshold stay out. The others are deduplicated; a parity sketch of 128 bits bounds the number of differing
+   words from below and throws out more (never one that can reach it); the rest are verified on their whole texts.
 
 Null or empty texts have no words and are in no pair. Repeated rows of one id count once. Extra columns are not read.
 """
@@ -35,13 +29,15 @@ from pyspark.sql import functions as F
 from docskein.llm.arrays import U64, mix, slices, word_sets
 from docskein.session import stage
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
+#: The most words in a variant.
+DEPTH = 8
 
 
 def bucket_counts(texts: DataFrame, column: str) -> tuple[np.ndarray, int]:
     """In how many texts the words of each bucket occur, and the number of texts. All texts count.
 
-    Brings at most 65,536 rows to the driver, whatever the size of the input.
+    Brings at most 2^18 rows to the driver, whatever the size of the input.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,29 +57,15 @@ def bucket_counts(texts: DataFrame, column: str) -> tuple[np.ndarray, int]:
     return out, int(rows.n[rows.bucket < 0].sum())
 
 
-def word_weights(counts: np.ndarray, n_texts: int, common: float, floor: int) -> np.ndarray:
-    """1 for buckets with up to common * n_texts + floor texts, falling in proportion beyond."""
-    return ((common * n_texts + floor) / np.maximum(counts, common * n_texts + floor)).astype(np.float64)
-
-
-def _lowest(score: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """The place of the lowest score in each segment."""
-    low = np.minimum.reduceat(score, starts)
-    at = np.flatnonzero(score == low[owner])
-    first = np.empty(len(at), dtype=bool)
-    first[:1] = True
-    np.not_equal(owner[at][1:], owner[at][:-1], out=first[1:])
-    return at[first]
-
-
-def fingerprints(texts: list, weights: np.ndarray, min_words: int, centre: int, tables: int) -> list[tuple]:
-    """(place in texts, class, words, parity1, parity2, variants) of each text with at least min_words words."""
+def fingerprints(texts: list, counts: np.ndarray, min_words: int, threshold: float) -> list[tuple]:
+    """(place in texts, class, words, parity1, parity2, first words) of each text with at least min_words words."""
     owner, hashes = word_sets(texts)
     sizes = np.bincount(owner, minlength=len(texts))
-    kept = np.flatnonzero(sizes >= max(min_words, centre))
+    least = max(min_words, 3)
+    kept = np.flatnonzero(sizes >= least)
     if not len(kept):
         return []
-    inside = sizes[owner] >= max(min_words, centre)
+    inside = sizes[owner] >= least
     owner, hashes = np.searchsorted(kept, owner[inside]), hashes[inside]
     starts = np.flatnonzero(np.diff(owner, prepend=-1))
     mixed = mix(hashes, 1)
@@ -92,107 +74,135 @@ def fingerprints(texts: list, weights: np.ndarray, min_words: int, centre: int,
     bits = U64(1) << (mixed >> U64(58))
     half = (mixed >> U64(57)) & U64(1)
     parity = [np.bitwise_xor.reduceat(np.where(half == i, bits, U64(0)), starts) for i in (U64(0), U64(1))]
-    # Words far behind in every order are left out: only the first few of a weighted order matter.
-    weight = weights[(hashes & U64(BUCKETS - 1)).astype(np.int64)]
-    variants = []
-    for table in range(tables):
-        u = ((mix(hashes, 10 + table) >> U64(11)).astype(np.float64) + 0.5) / (1 << 53)
-        score = -np.log(u) / weight
-        chosen = []
-        for _ in range(centre):
-            at = _lowest(score, starts, owner)
-            chosen.append(mixed[at])
-            score[at] = np.inf
-        with np.errstate(over="ignore"):
-            whole = sum(chosen[1:], chosen[0].copy())
-            variants += [whole - x for x in chosen]
-    table_of = np.sort(mix(np.stack(variants, axis=1), 3), axis=1).view(np.int64)
-    return [(int(k), c, int(n), p, q, np.unique(v)) for k, c, n, p, q, v in zip(kept, classes.view(np.int64), sizes[kept], parity[0].view(np.int64), parity[1].view(np.int64), table_of)]
-
-
-def fingerprint_table(df: DataFrame, id_col: str, text_col: str, side_col: str, weights: np.ndarray, min_words: int, centre: int, tables: int) -> DataFrame:
-    """A row for each input row with enough words: id, side, class, words, parities and variants."""
+    n = sizes[kept]
+    order = np.lexsort((hashes, counts[(hashes & U64(BUCKETS - 1)).astype(np.int64)], owner))
+    first = np.arange(len(owner)) - starts[owner] < (n - _least_shared(n, threshold) + DEPTH)[owner]
+    words = np.split(hashes[order][first].astype(np.int64), np.cumsum(np.bincount(owner[first]))[:-1])
+    return [(int(k), c, int(m), p, q, w) for k, c, m, p, q, w in zip(kept, classes.view(np.int64), n, parity[0].view(np.int64), parity[1].view(np.int64), words)]
+
+
+def _least_shared(n: np.ndarray, threshold: float) -> np.ndarray:
+    """How many of its n words a text shares at least with one that has the overlap."""
+    return np.ceil(threshold * n - 1e-9).astype(np.int64)
+
+
+def fingerprint_table(df: DataFrame, id_col: str, text_col: str, side_col: str, counts: np.ndarray, min_words: int, threshold: float) -> DataFrame:
+    """A row for each input row with enough words: id, side, class, number of words, parities and first words, rare ones first."""
     schema = df.select(id_col, side_col).schema
-    out = f"id {schema[0].dataType.simpleString()}, side {schema[1].dataType.simpleString()}, class long, n int, p1 long, p2 long, variants array<long>"
+    out = f"id {schema[0].dataType.simpleString()}, side {schema[1].dataType.simpleString()}, class long, n int, p1 long, p2 long, words array<long>"
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    shared = df.sparkSession.sparkContext.broadcast(counts.astype(np.int32) if counts.max(initial=0) < 1 << 31 else counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(1).to_pylist()
             for a, b in slices(values):
-                rows = fingerprints(values[a:b], weights, min_words, centre, tables)
+                rows = fingerprints(values[a:b], shared.value, min_words, threshold)
                 if rows:
-                    place, *rest, variants = zip(*rows)
+                    place, *rest, words = zip(*rows)
                     at = pa.array([a + k for k in place])
-                    flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(v) for v in variants]), pa.int32()), pa.array(np.concatenate(variants)))
+                    flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(w) for w in words]), pa.int32()), pa.array(np.concatenate(words)))
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(at), batch.column(2).take(at), *(pa.array(np.array(x), t) for x, t in zip(rest, types)), flat],
-                        ["id", "side", "class", "n", "p1", "p2", "variants"],
+                        ["id", "side", "class", "n", "p1", "p2", "words"],
                     )
 
     return df.select(id_col, text_col, side_col).mapInArrow(run, out)
 
 
-def _met(crowd: int):
-    """Pairs of classes next to each other under equal variants, of rows sorted by variant and class.
+def _met(crowd: int | None, k: int, threshold: float):
+    """Pairs of classes next to each other under equal variants of k words, of rows sorted by variant: variant, class, tag.
 
-    Yields (a, b, null) for a pair with different marks, and (a, null, variant) for each member of a crowded variant.
+    Yields (a, b, null, null) for a pair that can have the overlap and has different marks, and (a, null, variant, tag) for each
+    member of a crowded variant. A tag is size << 32 | place << 2 | marks; place is that of the variant's last word in the text.
     marks: bit 1 for a class found on side 0, bit 2 for one on side 1, or 3 where sides don't matter.
     """
 
-    def out(a, b, hot) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), b if isinstance(b, pa.Array) else pa.array(b, pa.int64()), hot if isinstance(hot, pa.Array) else pa.array(hot, pa.int64())], ["a", "b", "hot"])
+    def pairs(a, b) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *[pa.nulls(len(a), pa.int64())] * 2], ["a", "b", "hot", "tag"])
+
+    def passed(key, a, tag) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()), pa.array(key), pa.array(tag)], ["a", "b", "hot", "tag"])
+
+    def finished(keys, ids, tags):
+        new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        size = np.diff(np.append(new, len(keys)))
+        rank, size = np.arange(len(keys)) - np.repeat(new, size), np.repeat(size, size)
+        if crowd is not None and (size > crowd).any():
+            at = np.flatnonzero(size > crowd)
+            yield passed(keys[at], ids[at], tags[at])
+            size = np.where(size > crowd, 0, size)
+        n, marks = tags >> 32, tags & 3
+        most = k + n - ((tags >> 2) & 0x3FFFFFFF) - 1  # words it can share if these are the first k
+        x, step = np.arange(len(keys)), 1
+        while True:
+            x = x[rank[x] + step < size[x]]
+            if not len(x):
+                return
+            y = x + step
+            ok = np.minimum(most[x], most[y]) >= threshold / (1 + threshold) * (n[x] + n[y]) - 1e-6
+            ok &= np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-6
+            i, j = x[ok], y[ok]
+            ok = (ids[i] != ids[j]) & (((marks[i] & 1) & (marks[j] >> 1)) | ((marks[i] >> 1) & (marks[j] & 1)) > 0)
+            if ok.any():
+                yield pairs(ids[i[ok]], ids[j[ok]])
+            step += 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, marks = (np.empty(0, dtype=t) for t in (np.int64, np.int64, np.int8))
+        keys, ids, tags = (np.empty(0, dtype=np.int64) for _ in range(3))
         crowded = None  # the variant whose members have begun to be passed on
-
-        def finished(keys, ids, marks):
-            n = len(keys)
-            if n < 2:
-                return
-            new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            size = np.diff(np.append(new, n))
-            many = size > crowd
-            group = np.repeat(np.arange(len(new)), size)
-            if many.any():
-                at = np.flatnonzero(many[group])
-                yield out(ids[at], pa.nulls(len(at), pa.int64()), keys[at])
-            at = np.flatnonzero((size > 1)[group] & ~many[group])
-            keys, ids, marks = keys[at], ids[at], marks[at]
-            for step in range(1, int(size[~many].max(initial=1))):
-                same = np.flatnonzero(keys[step:] == keys[:-step])
-                if not len(same):
-                    break
-                x, y = same, same + step
-                ok = (ids[x] != ids[y]) & (((marks[x] & 1) & (marks[y] >> 1)) | ((marks[x] >> 1) & (marks[y] & 1)) > 0)
-                x, y = ids[x[ok]], ids[y[ok]]
-                if len(x):
-                    yield out(np.minimum(x, y), np.maximum(x, y), pa.nulls(len(x), pa.int64()))
-
         for batch in batches:
-            k, i, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)]
             if crowded is not None:
-                n = int(np.searchsorted(k, crowded, side="right"))
+                n = int(np.searchsorted(new[0], crowded, side="right"))
                 if n:
-                    yield out(i[:n], pa.nulls(n, pa.int64()), k[:n])
-                if n == len(k):
+                    yield passed(*(x[:n] for x in new))
+                if n == len(new[0]):
                     continue
-                k, i, m, crowded = k[n:], i[n:], m[n:], None
-            keys, ids, marks = np.concatenate([keys, k]), np.concatenate([ids, i]), np.concatenate([marks, m.astype(np.int8)])
+                new, crowded = [x[n:] for x in new], None
+            keys, ids, tags = (np.concatenate(x) for x in zip((keys, ids, tags), new))
             last = int(np.searchsorted(keys, keys[-1], side="left")) if len(keys) else 0
-            yield from finished(keys[:last], ids[:last], marks[:last])
-            keys, ids, marks = keys[last:], ids[last:], marks[last:]
-            if len(keys) > crowd:
-                yield out(ids, pa.nulls(len(ids), pa.int64()), keys)
+            if last:
+                yield from finished(keys[:last], ids[:last], tags[:last])
+            keys, ids, tags = keys[last:], ids[last:], tags[last:]
+            if crowd is not None and len(keys) > crowd:
+                yield passed(keys, ids, tags)
                 crowded = keys[-1]
-                keys, ids, marks = keys[:0], ids[:0], marks[:0]
+                keys, ids, tags = keys[:0], ids[:0], tags[:0]
         if len(keys):
-            yield from finished(keys, ids, marks)
+            yield from finished(keys, ids, tags)
 
     return run
 
 
+def _candidates(carried: DataFrame, threshold: float, crowd: int) -> DataFrame:
+    """a, b: the pairs of classes (class, n, words, marks) that meet in a variant and can have the overlap by sizes and places."""
+    carried = carried.withColumn("least", F.ceil(threshold * F.col("n") - 1e-9).cast("int"))
+    own = F.shiftleft(F.col("n").cast("long"), 32) + F.col("marks")
+    emitted = carried.select(F.posexplode(F.slice("words", 1, F.col("n") - F.col("least") + 1)).alias("place", "variant"), "class", own.alias("own"))
+    emitted = emitted.select("variant", "class", (F.col("own") + F.shiftleft(F.col("place").cast("long"), 2)).alias("tag"))
+    found = None
+    for k in range(1, DEPTH + 1):
+        met = emitted.repartition("variant").sortWithinPartitions("variant").mapInArrow(_met(crowd if k < DEPTH else None, k, threshold), "a long, b long, hot long, tag long")
+        met = stage(met, "met")
+        pairs = met.where("hot IS NULL").select("a", "b")
+        found = pairs if found is None else found.unionByName(pairs)
+        hot = met.where("hot IS NOT NULL").select(F.col("a").alias("class"), "hot", "tag")
+        if not hot.limit(1).count():
+            break
+        # Each member adds one of its next words, or an end mark if the words so far may be all it shares.
+        place = F.shiftright(F.col("tag"), 2).bitwiseAND(0x3FFFFFFF).cast("int")
+        further = F.transform(
+            F.sequence(place + 1, F.col("n") - F.col("least") + k),
+            lambda i: F.struct(i.alias("place"), F.get("words", i).alias("word")),
+        )
+        further = F.when(place + 1 <= F.least(F.col("n") - F.col("least") + k, F.col("n") - 1), further).otherwise(F.array().cast("array<struct<place:int,word:bigint>>"))
+        end = F.when(F.col("least") <= k, F.array(F.struct(F.col("n").alias("place"), F.lit(-1).cast("long").alias("word")))).otherwise(F.array().cast("array<struct<place:int,word:bigint>>"))
+        more = hot.join(carried, "class").select("class", "hot", own.alias("own"), F.explode(F.concat(further, end)).alias("next")).where("next.word IS NOT NULL")
+        emitted = more.select(F.xxhash64("hot", "next.word").alias("variant"), "class", (F.col("own") + F.shiftleft(F.col("next.place").cast("long"), 2)).alias("tag"))
+    return found.distinct()
+
+
 def _reachable(threshold: float) -> Column:
     """Whether classes x and y can have the overlap, by their sizes and parity sketches."""
     differing = F.bit_count(F.col("x.p1").bitwiseXOR(F.col("y.p1"))) + F.bit_count(F.col("x.p2").bitwiseXOR(F.col("y.p2")))
@@ -222,11 +232,7 @@ def similar_texts(
     side_col: str | None = None,
     threshold: float = 0.7,
     min_words: int = 1,
-    centre: int = 3,
-    tables: int = 10,
-    common: float = 0.005,
-    floor: int = 10,
-    crowd: int = 64,
+    crowd: int = 512,
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links): classes of texts with equal word sets, and the pairs of classes that overlap.
 
@@ -236,22 +242,13 @@ def similar_texts(
     """
     side = F.lit(0) if side_col is None else F.col(side_col)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), side.cast("int").alias("side"))
-    counts, n_texts = bucket_counts(rows, "text")
-    weights = word_weights(counts, n_texts, common, floor)
-    prints = stage(fingerprint_table(rows, "id", "text", "side", weights, min_words, centre, tables), "fingerprints")
+    counts, _ = bucket_counts(rows, "text")
+    prints = stage(fingerprint_table(rows, "id", "text", "side", counts, min_words, threshold), "fingerprints")
     members = prints.groupBy("id", "class").agg(F.min("side").alias("side"), F.min("n").alias("n"))
-    classes = prints.groupBy("class").agg(
-        F.min("id").alias("id"), F.min("n").alias("n"), F.min("p1").alias("p1"), F.min("p2").alias("p2"),
-        F.lit(3).alias("marks") if side_col is None else F.bit_or(F.col("side") + 1).alias("marks"),
-    )
-    # One row of each class carries its variants: copies are reduced on the map side before anything is shuffled.
-    carried = prints.groupBy("class").agg(F.first("variants").alias("variants"), F.lit(3).alias("marks") if side_col is None else F.bit_or(F.col("side") + 1).alias("marks"))
-    emitted = carried.select(F.explode("variants").alias("variant"), "class", F.col("marks").cast("tinyint").alias("marks"))
-    met = emitted.repartition("variant").sortWithinPartitions("variant").mapInArrow(_met(crowd), "a long, b long, hot long")
-    met = stage(met.dropDuplicates(), "met")
-    found = met.where("hot IS NULL").select("a", "b")
-    if met.where("hot IS NOT NULL").limit(1).count():
-        found = found.unionByName(_crowded(met, prints, classes, rows, counts, threshold, min_words)).dropDuplicates()
+    classes = prints.groupBy("class").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("p1").alias("p1"), F.min("p2").alias("p2"))
+    # One row of each class carries its words: copies are reduced on the map side before anything is shuffled.
+    marks = F.lit(3) if side_col is None else F.bit_or(F.col("side") + 1)
+    found = _candidates(prints.groupBy("class").agg(F.first("n").alias("n"), F.first("words").alias("words"), marks.alias("marks")), threshold, crowd)
     sketch = classes.select("class", "id", "n", "p1", "p2")
     pairs = (
         found.join(sketch.alias("x").withColumnRenamed("class", "a"), "a")
@@ -271,30 +268,3 @@ def similar_texts(
 
     links = both.select("a", "b", "text_x", "text_y").mapInArrow(verify, "class_1 long, class_2 long, shared long, total long")
     return members, links.where(F.col("shared") >= threshold * F.col("total") - 1e-9)
-
-
-def _crowded(met: DataFrame, prints: DataFrame, classes: DataFrame, rows: DataFrame, counts: np.ndarray, threshold: float, min_words: int) -> DataFrame:
-    """Pairs of the members of crowded variants, by an exact prefix filter inside each variant."""
-    members = met.where("hot IS NOT NULL").select(F.col("a").alias("class"), "hot").distinct()
-    texts = members.select("class").distinct().join(classes.select("class", "id"), "class").join(rows.groupBy("id").agg(F.max("text").alias("text")), "id")
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(1).to_pylist()
-            for a, b in slices(values):
-                owner, hashes = word_sets(values[a:b])
-                order = np.lexsort((hashes, counts[(hashes & U64(BUCKETS - 1)).astype(np.int64)], owner))
-                owner, hashes = owner[order], hashes[order]
-                sizes = np.bincount(owner, minlength=b - a)
-                rank = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                length = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
-                at = rank < length[owner]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[at] + a)), pa.array(hashes[at].astype(np.int64))], ["class", "word"])
-
-    words = texts.select("class", "text").mapInArrow(prefixes, "class long, word long")
-    # Within the classes at hand the variant isn't needed as a key: the prefix filter alone is exact.
-    side = words.join(classes.select("class", "n", "p1", "p2", "marks"), "class")
-    x, y = side.alias("x"), side.alias("y")
-    sides = (F.col("x.marks").bitwiseAND(1) * F.col("y.marks").bitwiseAND(2) + F.col("x.marks").bitwiseAND(2) * F.col("y.marks").bitwiseAND(1)) > 0
-    met_again = (F.col("x.word") == F.col("y.word")) & (F.col("x.class") < F.col("y.class"))
-    return x.join(y, met_again & sides & _reachable(threshold)).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()

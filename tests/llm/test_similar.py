@@ -97,3 +97,12 @@ def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (7, 7), (3, 1), (10, 9), (9, 8), (8, 6)], "a long, b long")
     assert {tuple(r) for r in connected_components(links, "a", "b").collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (8, 6), (9, 6), (10, 6)}
     assert connected_components(links.limit(0), "a", "b").count() == 0
+
+
+def test_near_copies_of_a_frequent_text(spark):
+    """Nearly all rows are copies of one text, so that all its words are common and only the edits are rare."""
+    base = [f"t{i}" for i in range(84)]
+    near = [(f"near{k}", " ".join(f"e{k}x{i}" if k <= i < k + 14 else w for i, w in enumerate(base))) for k in range(0, 70, 10)]
+    df = spark.createDataFrame([(f"copy{i}", " ".join(base)) for i in range(3000)] + near, "id string, text string")
+    members, links = ballhash.similar_texts(df, "id", "text", min_words=20)
+    assert members.count() == 3007 and sorted((r.shared, r.total) for r in links.collect()) == [(70, 98)] * 7
