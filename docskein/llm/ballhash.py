@@ -61,7 +61,7 @@ def fingerprints(texts: list, counts: np.ndarray, min_words: int, threshold: flo
     """(place in texts, class, words, parity1, parity2, first words) of each text with at least min_words words."""
     owner, hashes = word_sets(texts)
     sizes = np.bincount(owner, minlength=len(texts))
-    least = max(min_words, 3)
+    least = max(min_words, 1)
     kept = np.flatnonzero(sizes >= least)
     if not len(kept):
         return []

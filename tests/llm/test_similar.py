@@ -106,3 +106,11 @@ def test_near_copies_of_a_frequent_text(spark):
     df = spark.createDataFrame([(f"copy{i}", " ".join(base)) for i in range(3000)] + near, "id string, text string")
     members, links = ballhash.similar_texts(df, "id", "text", min_words=20)
     assert members.count() == 3007 and sorted((r.shared, r.total) for r in links.collect()) == [(70, 98)] * 7
+
+
+def test_short_texts(spark):
+    rows = [("a", "one"), ("b", "One!"), ("c", "one two"), ("d", "two one"), ("e", "one two three"), ("f", "one two three four"), ("g", "..."), ("h", "other")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    for threshold in (0.7, 0.5):
+        members, links = ballhash.similar_texts(df, "id", "text", threshold=threshold, crowd=2)
+        assert {tuple(r) for r in neardup.expand(members, links).collect()} == brute([r for r in rows if words(r[1])], threshold)
