@@ -1,20 +1,62 @@
 """Broken pairs and consensus labels, by held-out accuracy on generated tables."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from docskein.llm import consensus, pairs
+from docskein.llm import consensus, lexicon, pairs
 
 EN = ("The method reads orders from {t} and keeps only open items.", "Rows of {t} are skipped unless the flag equals four.", "Authorisation is checked in {t} by means of the role.", "A lock on {t} protects the records until the job has finished.", "When {t} is empty, the job logs the missing entries and ends.")
 DE = ("Die Methode liest Aufträge aus {t} und prüft das Feld.", "Nur Zeilen mit Status vier erreichen {t}, übrige bleiben in der Tabelle.", "Die Sperre auf {t} schützt die Daten, bis der Lauf zurückkehrt.", "Nach drei Versuchen werden die Einträge in {t} zurückgestellt.")
 
 
-def test_content():
-    for nothing in (None, "", " \n", "​", "...", "n/a", "[]", "None", "(no answer)", "```\n```", "Answer:", "…"):
-        assert pairs.content(nothing) == ""
-    assert pairs.content("No.") and pairs.content("x")
+def _model():
+    """A classifier on questions and answers made of the sentences above."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(120):
+        german = i % 3 == 0
+        q = f"{'Wozu dient das Feld' if german else 'What is the purpose of'} LV_{rng.choice('BDF')}A{i} {'in der Tabelle' if german else 'in the table'} ZT_DAMIGO?"
+        rows.append((q, " ".join(rng.choice(DE if german else EN).format(t="ZT_BAFINO") for _ in range(4))))
+    words = [w for q, a in rows for w in {*pairs.words_of(q), *pairs.words_of(a)}]
+    often = frozenset(w for w in words if words.count(w) > 2)
+    return pairs.Classifier(rows, often, often)
+
+
+def test_empty_short_and_declining():
+    model = _model()
+    question = "What is the purpose of LV_DA7 in the table ZT_DAMIGO?"
+    for nothing in (None, "", " \n", "​", "...", "n/a", "[]", "None", "(no answer)", "```\n```", "Answer:", "…", "<missing>", "No response."):
+        assert model.defect(question, nothing)[0] == "empty", nothing
+    for short in ("Four.", "`LV_DA7`", "The role of the flag."):
+        assert model.defect(question, short)[0] != "empty", short
+    # sentences that are none of those it was trained on
+    declining = (
+        "I can't help you here.", "I am sorry, I do not have an answer.", "The excerpts give no information about LV_DA7.", "Ich kann das nicht beantworten.", "Je ne peux pas répondre.", "No puedo responder.", "Não posso responder.",
+    )
+    assert sum(model.defect(question, x)[0] == "refusal" for x in declining) >= 0.9 * len(declining) - 1
+    said = {x for lists in lexicon.REFUSALS.values() for x in lists}
+    assert not said & set(declining)
+    for sound in ("Sorry for the wait. " + " ".join(EN[:3]).format(t="ZT_X"), "I can't see the caller, but the role decides. " + EN[1].format(t="ZT_X"), "No rows of ZT_X may be changed while the flag is not set."):
+        assert model.defect(question, sound)[0] != "refusal", sound
+
+
+def test_training_sentences_are_not_those_of_the_tables():
+    import glob
+
+    import pyarrow.parquet as pq
+
+    files = glob.glob("/root/testdata/sf*/evaluation_result.parquet")
+    if not files:
+        pytest.skip("no test tables here")
+    texts = {t for f in files for c in pq.read_table(f, columns=["open_source_response", "closed_source_response"]).columns for t in c.to_pylist() if t}
+    everything = "\n".join(texts).lower()
+    for lists in (lexicon.REFUSALS, lexicon.RESERVATIONS):
+        for sentences in lists.values():
+            for x in sentences:
+                assert not re.search(".{1,40}?".join(re.escape(p) for p in x.lower().rstrip(".").split("{x}")), everything), x
 
 
 def test_language():
