@@ -87,11 +87,11 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return encoding.restored_texts(_table(spark, folder, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"))
+    return encoding.restored_texts(_table(spark, folder, "documents"), "doc_id", "text", "source").select(F.col("id").alias("doc_id"))
 
 
 def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
-    return encoding.restored_texts(_table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return encoding.restored_texts(_table(spark, folder, "documents"), "doc_id", "text", "source").withColumnRenamed("id", "doc_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p2_packed, p2_report, p3_found, p3_report, p4_found, p4_questions, p4_judges, p4_agreement, p5_found, p5_groups, p6_ids, p6_report, p7_found, p8_found, p8_restored)}

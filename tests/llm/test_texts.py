@@ -89,3 +89,23 @@ def test_restore(spark):
     assert not got[2003].complete
     assert encoding.restored_texts(df.limit(0), "doc_id", "text").count() == 0
     assert encoding.restored_texts(df.where("doc_id = 4"), "doc_id", "text").count() == 0
+
+
+def test_a_wholly_garbled_source_does_not_vouch_for_itself(spark):
+    rows = [(i, SENTENCES[i % 6] + f" {i}", f"s{i % 12}") for i in range(1200)] + [(i, "Итог: 12 записей в таблице", f"s{i % 12}") for i in range(1200, 1230)]
+    wrong = {i: t.encode("utf-8").decode("cp1252", "ignore") if i % 2 else t.encode("mac_roman", "ignore").decode("cp1252", "ignore") for i, t, s in rows if s == "s5" and i % 6 < 4}
+    df = spark.createDataFrame([(i, wrong.get(i, t), s) for i, t, s in rows], "doc_id int, text string, source string")
+    garbled = {i for i, t, _ in rows if wrong.get(i, t) != t}
+    got = {r.id for r in encoding.restored_texts(df, "doc_id", "text", "source").select("id").collect()}
+    assert len(got & garbled) >= 0.95 * len(garbled) and not got - garbled
+    # ordinary runs of correct text are in no segment
+    model = encoding.corpus_counts(df.where("source <> 's5'"), "text", "source", 0.98)
+    points = encoding.code_points(SENTENCES[0])
+    assert (encoding.np.diff(points) != 0).any() and model.probable(SENTENCES[0])
+
+
+def test_a_blank_that_was_a_no_break_space(spark):
+    rows = [(i, f"Elle passe à jour les données à partir de là {i}.") for i in range(400)]
+    df = spark.createDataFrame([*rows, (1000, "Elle passe Ã jour les donnÃ©es Ã partir de lÃ  17.")], "doc_id int, text string")
+    got = {r.id: r.restored for r in encoding.restored_texts(df, "doc_id", "text").collect()}
+    assert got == {1000: "Elle passe à jour les données à partir de là 17."}
