@@ -59,13 +59,48 @@ def test_leaks(spark, block_chars):
     assert leakage.leaking_documents(df, "doc_id", "text", it.limit(0), "item_id", ["q", "c"]).count() == 0
 
 
-def test_leak_with_edits(spark):
-    words = [f"word{i}" for i in range(40)]
-    broken = words[:20] + ["inserted"] + words[20:]
-    df = spark.createDataFrame([(1, " ".join(broken))], "doc_id int, text string")
-    it = spark.createDataFrame([(1, " ".join(words))], "item_id int, q string")
-    got = leakage.leaked_passages(df, "doc_id", "text", it, "item_id", ["q"], q=6, edit_budget=2).collect()
-    assert [(r.item_id, r.doc_id) for r in got] == [(1, 1)] and got[0].words >= 12
+def edit_distance(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+    return row[-1]
+
+
+@pytest.mark.parametrize("block_chars", [4_000_000, 300])
+def test_leak_with_edits(spark, block_chars):
+    """Passages too short to be found by a half: 20 words of which 12 must be aligned at once, with an edit in their middle."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(rng.randrange(3, 9))) for _ in range(400)]
+    passage = [words[20 * i : 20 * i + 16] for i in range(16)]
+    letter = lambda w: w[:1] + ("x" if w[1] != "x" else "y") + w[2:]
+    edited = {
+        0: passage[0], 1: [*passage[1][:8], letter(passage[1][8]), *passage[1][9:]], 2: [*passage[2][:8], "xyxyx", *passage[2][9:]], 3: [*passage[3][:8], "xyx", *passage[3][8:]],
+        4: [*passage[4][:8], *passage[4][9:]], 5: [w if i % 3 else "zz" + w[::-1] for i, w in enumerate(passage[5])], 6: passage[6][:9],
+    }
+    filler = [words[330 + i] for i in range(60)]
+    rows = [(i, " ".join(filler[:30] + x + filler[30:])) for i, x in edited.items()] + [(100, None), (101, ""), (102, " ".join(filler))]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    it = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(passage[:7])] + [(90, None)], "item_id int, q string")
+    find = lambda **k: {(r.item_id, r.doc_id): r for r in leakage.leaked_passages(df, "doc_id", "text", it, "item_id", ["q"], block_chars=block_chars, **k).collect()}
+    assert set(find(edit_budget=0)) == {(0, 0)}
+    assert set(find(edit_budget=1)) == {(0, 0), (1, 1)}
+    ten = find(edit_budget=10, min_chars=60)
+    assert set(ten) == {(i, i) for i in range(5)}  # one letter, a word replaced, inserted, left out
+    assert all(r.words >= 12 for r in ten.values()) and ten[2, 2].equal < 12
+    assert edit_distance(" ".join(passage[2]), " ".join(edited[2])) <= 10
+    only = leakage.leaking_documents(df, "doc_id", "text", it, "item_id", ["q"], edit_budget=10, block_chars=block_chars)
+    assert {tuple(r) for r in only.collect()} == {(0, 0)}
+
+
+def test_leaks_of_boilerplate_are_expanded_in_ranges(spark, monkeypatch):
+    text = " ".join(f"common{i}" for i in range(14))
+    items = [(i, f"{text} own{i} tail{i}") for i in range(60)]
+    monkeypatch.setattr(leakage, "EXPANDED", 500)
+    block = leakage.Block([(i, "q") for i, _ in items], [t for _, t in items], 12, 1)
+    found = block.find(["nothing here", f"before {text} after", None])
+    assert {(t, f) for t, f, _, n in found if n >= 12} == {(1, i) for i in range(60)}
 
 
 SENTENCES = [
