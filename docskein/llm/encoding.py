@@ -17,6 +17,7 @@ Null, empty, blank and ASCII texts are never garbled; each row is judged for its
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -65,6 +66,7 @@ class Model:
         """spread: by how much the count of each pair is discounted (1 for none); shift: the threshold of improbability."""
         self.pairs = pairs.astype(np.float32) if spread is None else (pairs * spread).astype(np.float32)
         self.chars, self.shift = chars, shift
+        self.known: dict[str, tuple[float, float]] = {}
         self.total = max(1, int(chars.sum()))
 
     def pair_information(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -78,23 +80,27 @@ class Model:
         points = points[points > 127] if (points > 127).any() else points
         return float(-np.log2((self.chars[char_buckets(points)] + 0.1) / self.total).mean())
 
+    def pair(self, pair: str) -> tuple[float, float]:
+        """(cost of the second character given the first, in bits; improbability of the pair, 0 inside ASCII); remembered."""
+        if pair not in self.known:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            points = code_points(pair)
+            before, after = (float(x) for x in self.chars[char_buckets(points)])
+            ab = min(float(self.pairs[pair_buckets(points)][0]), before, after)  # no more than either character, whatever shares the bucket
+            # absolute discounting towards the frequency of the single character
+            p = max(ab - 0.5, 0) / max(before, 1) + (0.5 + 1e-3 * before) / (before + 1) * (after + 0.1) / (self.total + 1e5)
+            improbable = 0.0 if pair.isascii() else self.shift - float(self.pair_information(points[:1], points[1:])[0])
+            self.known[pair] = -math.log2(min(p, 1)), improbable
+        return self.known[pair]
+
     def bits(self, text: str) -> float:
         """The cost of a text after its first character, in bits, with each character given the one before."""
-        points = code_points(text)
-        if len(points) < 2:
-            return 0.0
-        before, after = (self.chars[char_buckets(p)].astype(np.float64) for p in (points[:-1], points[1:]))
-        ab = np.minimum(self.pairs[pair_buckets(points)], np.minimum(before, after))  # no more than either character, whatever shares the bucket
-        # absolute discounting towards the frequency of the single character
-        p = np.maximum(ab - 0.5, 0) / np.maximum(before, 1) + (0.5 + 1e-3 * before) / (before + 1) * (after + 0.1) / (self.total + 1e5)
-        return float(-np.log2(np.minimum(p, 1)).sum())
+        return sum(self.pair(text[i : i + 2])[0] for i in range(len(text) - 1))
 
     def probable(self, text: str) -> bool:
         """Whether the pairs of a text with a character outside ASCII are ordinary, taken together."""
-        points = code_points(text)
-        outside = points > 127
-        at = outside[:-1] | outside[1:]
-        return not at.any() or float((self.shift - self.pair_information(points[:-1][at], points[1:][at])).sum()) < 0
+        return text.isascii() or sum(self.pair(text[i : i + 2])[1] for i in range(len(text) - 1)) < 0
 
 
 def segments(at: np.ndarray, score: np.ndarray, calm: float) -> list[tuple[int, int]]:
@@ -175,6 +181,7 @@ class Restorer:
     def __init__(self, model: Model, swap_gain: float):
         self.model, self.swap_gain = model, swap_gain
         self.known: dict[tuple, str] = {}
+        self.read: dict[str, list] = {}
 
     def restore(self, before: str, place: str, after: str, swaps: bool = True) -> str:
         """The restored place, or the place itself where no inverse mapping is accepted."""
@@ -191,27 +198,40 @@ class Restorer:
         return gain > self.swap_gain and self.model.probable(before + restored + after)
 
     def _best(self, before: str, place: str, after: str, swaps: bool) -> str:
-        """The likeliest text that inverse mappings in a row lead to; only UTF-8 readings are undone further, each of them shorter."""
+        """The likeliest text that inverse mappings in a row lead to."""
         cost = self.model.bits(before + place + after)
-        best, most, seen, now = place, 0.0, {place}, [place]
-        while now:
-            shorter = []
-            for text in now:
-                for utf8, readings in ((True, utf8_readings(text)), (False, swapped_readings(text) if swaps else ())):
-                    for better in readings:
-                        if better in seen or better.lower() == place.lower():  # no wrong decoding changes only the case
-                            continue
-                        seen.add(better)
-                        if utf8:
-                            shorter.append(better)
-                        elif self.model.rarity(better) > self.model.rarity(place) + 3 or not self.model.probable(before + better + after):
-                            continue  # frequent letters aren't what a rare one was misread as
-                        won = cost - self.model.bits(before + better + after) - (0.0 if utf8 else self.swap_gain)
-                        if won > most:
-                            best, most = better, won
-            now = shorter
+        best, most = place, 0.0
+        for better, utf8 in self.readings(place):
+            if not utf8 and not (swaps and self.model.probable(before + better + after)):
+                continue
+            won = cost - self.model.bits(before + better + after) - (0.0 if utf8 else self.swap_gain)
+            if won > most:
+                best, most = better, won
         return best
 
+    def readings(self, place: str) -> list[tuple[str, bool]]:
+        """(reading, whether by UTF-8) of a place; only UTF-8 readings, each of them shorter, are undone further."""
+        if place not in self.read:
+            if len(self.read) > 50_000:
+                self.read.clear()
+            out, seen, now = [], {place}, [place]
+            rare = self.model.rarity(place)
+            while now:
+                shorter = []
+                for text in now:
+                    for utf8, readings in ((True, utf8_readings(text)), (False, swapped_readings(text))):
+                        for better in readings:
+                            if better in seen or better.lower() == place.lower():  # no wrong decoding changes only the case
+                                continue
+                            seen.add(better)
+                            if utf8:
+                                shorter.append(better)
+                            if utf8 or self.model.rarity(better) <= rare + 3:  # frequent letters aren't what a rare one was misread as
+                                out.append((better, utf8))
+                now = shorter
+            self.read[place] = out
+        return self.read[place]
+
 
 def _places(text: str, found: list[tuple[int, int]], reach: int) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
     """(begin, end, runs in segments): segments widened to whole runs outside ASCII, and to those at most reach characters away."""
