@@ -4,9 +4,9 @@ Records are dealt by hash into shards of about shard_records, so no group grows
 than the capacity is cut into consecutive pieces, of which all but the last are full sequences of their own. The rest is
 divided by Karmarkar-Karp multiway differencing: each record starts as a partial partition of k windows; the two partial
 partitions with the greatest imbalance are merged, the fullest window of one with the emptiest of the other, until one is
-left. A window that exceeds the capacity is divided anew together with one or two emptier ones, exactly, over their few records.
-k starts at the least number that the total length allows and rises by one whenever a window still exceeds the capacity.
-Only ids and lengths are shuffled, never texts.
+left. A window that exceeds the capacity is first divided anew together with emptier ones (levelled); k starts at the least
+number that the total length allows and rises by one whenever a window still exceeds the capacity. Only ids and lengths are
+shuffled, never texts, and the shards are spread over tasks by their number, however few bytes they have.
 
 Null or empty texts, and records of a group without a capacity of at least one, aren't placed. Repeated rows of one id in one
 group are one record (the longest). Ties are broken by id, so the result is the same in each run.
@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 from docskein.session import stage
 
 
+#: Tasks over which the shards are spread; more shards share a task.
+MOST_TASKS = 20_000
+
+
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
     """The places of sizes in k windows, by multiway differencing."""
     heap: list[tuple] = []
@@ -80,39 +84,36 @@ def _in_three(sizes: list[int], pool: list[int], capacity: int, tries: int = 24)
     return None
 
 
-def levelled(sizes: list[int], found: list[list[int]], capacity: int, most: int = 14, partners: int = 16) -> list[list[int]] | None:
+def _divided(sizes: list[int], pool: list[int], k: int, capacity: int, most: int = 14) -> tuple | None:
+    """pool as k windows within the capacity, or null: exactly for two or three windows of at most most records, else by differencing."""
+    if k <= 3 and len(pool) <= most:
+        return _in_two(sizes, pool, capacity) if k == 2 else _in_three(sizes, pool, capacity)
+    new = [[pool[x] for x in w] for w in differencing([sizes[x] for x in pool], k)]
+    return tuple(new) if max(sum(sizes[x] for x in w) for w in new) <= capacity else None
+
+
+def levelled(sizes: list[int], found: list[list[int]], capacity: int) -> list[list[int]] | None:
     """Windows within the capacity, from windows of which some exceed it; null if one of them can't be helped.
 
-    Only pools of at most most records are divided anew, so the work for a window is bounded.
+    An overfull window is divided anew with each other window that has room for it, then with each two, four, ... neighbours in the
+    order of emptiness, up to all, until the windows of such a group fit.
     """
     found, sums = [list(w) for w in found], [sum(sizes[i] for i in w) for w in found]
-
-    def put(places, new):
-        for i, w in zip(places, new):
-            found[i], sums[i] = w, sum(sizes[x] for x in w)
-
-    def helped(i: int) -> bool:
-        order = [j for j in sorted(range(len(found)), key=lambda j: sums[j]) if j != i]
-        for j in order:
-            if sums[i] + sums[j] > 2 * capacity:
-                break
-            new = _in_two(sizes, found[i] + found[j], capacity) if len(found[i]) + len(found[j]) <= most else None
-            if new:
-                put((i, j), new)
-                return True
-        few = order[:partners]
-        for x in range(len(few)):
-            for y in range(x):
-                j, k = few[y], few[x]
-                if sums[i] + sums[j] + sums[k] <= 3 * capacity and len(found[i]) + len(found[j]) + len(found[k]) <= most:
-                    new = _in_three(sizes, found[i] + found[j] + found[k], capacity)
-                    if new:
-                        put((i, j, k), new)
-                        return True
-        return False
-
     for i in sorted(range(len(found)), key=lambda i: -sums[i]):
-        if sums[i] > capacity and not helped(i):
+        order = [j for j in sorted(range(len(found)), key=lambda j: sums[j]) if j != i]
+        group = 1
+        while sums[i] > capacity and group <= len(order):
+            for at in range(len(order) - group + 1):
+                chosen = [i, *order[at : at + group]]
+                if sum(sums[j] for j in chosen) > capacity * len(chosen):
+                    break
+                new = _divided(sizes, [x for j in chosen for x in found[j]], len(chosen), capacity)
+                if new:
+                    for j, w in zip(chosen, new):
+                        found[j], sums[j] = w, sum(sizes[x] for x in w)
+                    break
+            group *= 2
+        if sums[i] > capacity:
             return None
     return found
 
@@ -139,8 +140,10 @@ def pack(df: DataFrame, id_col: str, text_col: str, group_col: str, capacities:
         .groupBy("group", "id")
         .agg(F.max("length").alias("length"))
     )
+    rows = stage(rows.join(limits, "group"), "lengths")  # read twice below
     shards = rows.groupBy("group").agg(F.ceil(F.count("*") / shard_records).alias("shards"))
-    dealt = rows.join(shards.join(limits, "group"), "group").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")))
+    tasks = max(1, min(int(shards.agg(F.coalesce(F.sum("shards"), F.lit(0))).first()[0]), MOST_TASKS))
+    dealt = rows.join(shards, "group").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards"))).repartition(tasks, "group", "shard")
     kind, group_kind = rows.schema["id"].dataType.simpleString(), rows.schema["group"].dataType.simpleString()
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
