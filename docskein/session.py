@@ -28,10 +28,13 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "docsk
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as spark.checkpoint.dir names it.
 
-    Only where that is unset (tests on one machine) a temporary folder is made and set for the session.
+    Only where that is unset on one machine (tests) a temporary folder is made and set for the session; a cluster without the
+    setting is an error, since its machines share no local folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = getattr(shared_folder, "own", None)
         if folder is None:
             folder = shared_folder.own = "file://" + tempfile.mkdtemp(prefix="docskein-")
@@ -44,13 +47,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and returns it as read from there.
 
     This cuts the lineage, is computed once however often it is read, survives lost executors and keeps column pruning.
-    The table is removed when the application ends.
+    The table is removed by release, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/docskein-stages/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes staged tables that no result reads any more."""
+    for df in tables:
+        path = getattr(df, "staged_at", None)
+        if path:
+            _remove(df.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
