@@ -70,7 +70,7 @@ def _in_two(sizes: list[int], pool: list[int], capacity: int) -> tuple | None:
     return _parted(pool, best) if fits[best] >= 0 else None
 
 
-def _in_three(sizes: list[int], pool: list[int], capacity: int, tries: int = 24) -> tuple | None:
+def _in_three(sizes: list[int], pool: list[int], capacity: int, tries: int = 4) -> tuple | None:
     """pool as three windows within the capacity, from the fullest first windows."""
     sums = _subset_sums(sizes, pool)
     fits = np.where(sums <= capacity, sums, -1)
@@ -95,15 +95,15 @@ def _divided(sizes: list[int], pool: list[int], k: int, capacity: int, most: int
 def levelled(sizes: list[int], found: list[list[int]], capacity: int) -> list[list[int]] | None:
     """Windows within the capacity, from windows of which some exceed it; null if one of them can't be helped.
 
-    An overfull window is divided anew with each other window that has room for it, then with each two, four, ... neighbours in the
-    order of emptiness, up to all, until the windows of such a group fit.
+    An overfull window is divided anew with each other window that has room for it, then with each two neighbours in the order of
+    emptiness, then with the 4, 8, ... emptiest ones, up to all, until the windows of such a group fit.
     """
     found, sums = [list(w) for w in found], [sum(sizes[i] for i in w) for w in found]
     for i in sorted(range(len(found)), key=lambda i: -sums[i]):
         order = [j for j in sorted(range(len(found)), key=lambda j: sums[j]) if j != i]
         group = 1
         while sums[i] > capacity and group <= len(order):
-            for at in range(len(order) - group + 1):
+            for at in range(len(order) - group + 1 if group <= 2 else 1):
                 chosen = [i, *order[at : at + group]]
                 if sum(sums[j] for j in chosen) > capacity * len(chosen):
                     break
@@ -142,7 +142,7 @@ def pack(df: DataFrame, id_col: str, text_col: str, group_col: str, capacities:
     )
     rows = stage(rows.join(limits, "group"), "lengths")  # read twice below
     shards = rows.groupBy("group").agg(F.ceil(F.count("*") / shard_records).alias("shards"))
-    tasks = max(1, min(int(shards.agg(F.coalesce(F.sum("shards"), F.lit(0))).first()[0]), MOST_TASKS))
+    tasks = max(1, min(2 * int(shards.agg(F.coalesce(F.sum("shards"), F.lit(0))).first()[0]), MOST_TASKS))
     dealt = rows.join(shards, "group").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards"))).repartition(tasks, "group", "shard")
     kind, group_kind = rows.schema["id"].dataType.simpleString(), rows.schema["group"].dataType.simpleString()
 
