@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docskein.llm.arrays import U64, mix, slices, word_sets
-from docskein.session import stage
+from docskein.session import release, stage
 
 BUCKETS = 1 << 18
 #: The most words in a variant.
@@ -175,16 +175,18 @@ def _met(crowd: int | None, k: int, threshold: float):
     return run
 
 
-def _candidates(carried: DataFrame, threshold: float, crowd: int) -> DataFrame:
-    """a, b: the pairs of classes (class, n, words, marks) that meet in a variant and can have the overlap by sizes and places."""
+def _candidates(carried: DataFrame, threshold: float, crowd: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b: the pairs of classes (class, n, words, marks) that meet in a variant and can have the overlap by sizes and places,
+    the staged tables they are read from)."""
     carried = carried.withColumn("least", F.ceil(threshold * F.col("n") - 1e-9).cast("int"))
     own = F.shiftleft(F.col("n").cast("long"), 32) + F.col("marks")
     emitted = carried.select(F.posexplode(F.slice("words", 1, F.col("n") - F.col("least") + 1)).alias("place", "variant"), "class", own.alias("own"))
     emitted = emitted.select("variant", "class", (F.col("own") + F.shiftleft(F.col("place").cast("long"), 2)).alias("tag"))
-    found = None
+    found, used = None, []
     for k in range(1, DEPTH + 1):
         met = emitted.repartition("variant").sortWithinPartitions("variant").mapInArrow(_met(crowd if k < DEPTH else None, k, threshold), "a long, b long, hot long, tag long")
         met = stage(met, "met")
+        used.append(met)
         pairs = met.where("hot IS NULL").select("a", "b")
         found = pairs if found is None else found.unionByName(pairs)
         hot = met.where("hot IS NOT NULL").select(F.col("a").alias("class"), "hot", "tag")
@@ -200,7 +202,7 @@ def _candidates(carried: DataFrame, threshold: float, crowd: int) -> DataFrame:
         end = F.when(F.col("least") <= k, F.array(F.struct(F.col("n").alias("place"), F.lit(-1).cast("long").alias("word")))).otherwise(F.array().cast("array<struct<place:int,word:bigint>>"))
         more = hot.join(carried, "class").select("class", "hot", own.alias("own"), F.explode(F.concat(further, end)).alias("next")).where("next.word IS NOT NULL")
         emitted = more.select(F.xxhash64("hot", "next.word").alias("variant"), "class", (F.col("own") + F.shiftleft(F.col("next.place").cast("long"), 2)).alias("tag"))
-    return found.distinct()
+    return found.distinct(), used
 
 
 def _reachable(threshold: float) -> Column:
@@ -248,7 +250,7 @@ def similar_texts(
     classes = prints.groupBy("class").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("p1").alias("p1"), F.min("p2").alias("p2"))
     # One row of each class carries its words: copies are reduced on the map side before anything is shuffled.
     marks = F.lit(3) if side_col is None else F.bit_or(F.col("side") + 1)
-    found = _candidates(prints.groupBy("class").agg(F.first("n").alias("n"), F.first("words").alias("words"), marks.alias("marks")), threshold, crowd)
+    found, used = _candidates(prints.groupBy("class").agg(F.first("n").alias("n"), F.first("words").alias("words"), marks.alias("marks")), threshold, crowd)
     sketch = classes.select("class", "id", "n", "p1", "p2")
     pairs = (
         found.join(sketch.alias("x").withColumnRenamed("class", "a"), "a")
@@ -257,6 +259,7 @@ def similar_texts(
         .select("a", "b", F.col("x.id").alias("id_x"), F.col("y.id").alias("id_y"))
     )
     pairs = stage(pairs, "reachable")
+    release(*used)
     wanted = pairs.select(F.col("id_x").alias("id")).union(pairs.select("id_y")).distinct()
     texts = rows.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
     both = pairs.join(texts.select(F.col("id").alias("id_x"), F.col("text").alias("text_x")), "id_x").join(texts.select(F.col("id").alias("id_y"), F.col("text").alias("text_y")), "id_y")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docskein.session import stage
+from docskein.session import release, stage
 
 
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -25,7 +25,8 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
         # small star: every smaller neighbour of u, and u, is linked to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).where("u <> v").distinct()
-        edges = stage(small, "edges")
+        before, edges = edges, stage(small, "edges")
+        release(before)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
             break

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docskein.session import stage
+from docskein.session import release, stage
 
 LABELS = ("open_source", "closed_source", "tie")
 #: Words around a choice that don't change it, and words for a tie.
@@ -83,20 +83,23 @@ def _parameters(posterior: DataFrame, smoothing: float) -> DataFrame:
     )
 
 
-def estimate(votes: DataFrame, smoothing: float = 1.0, rounds: int = 12, tolerance: float = 1e-3) -> tuple[DataFrame, DataFrame]:
+def estimate(votes: DataFrame, smoothing: float = 1.0, tolerance: float = 1e-3) -> tuple[DataFrame, DataFrame]:
     """(items, raters). votes: item, judge, shown, label.
 
     items: item, consensus, posterior, judges, votes, agreement (share of agreeing pairs of votes, null for one vote).
-    raters: judge, shown, label, log0.. and prior0.. as in _parameters.
+    raters: judge, shown, label, log0.. and prior0.. as in _parameters. Rounds go on until no probability of a confusion matrix
+    moves by tolerance; the smoothed likelihood grows in each, so they come to an end.
     """
     number = F.array_position(F.array(*map(F.lit, LABELS)), F.col("label")).cast("int") - 1
     counted = votes.groupBy("item", "judge", "shown", number.alias("label")).agg(F.count("*").alias("n"))
-    counted = stage(counted.repartition("item"), "votes").repartition("item").persist()
+    staged = stage(counted, "votes")
+    counted = staged.repartition("item").persist()  # by item once: no round shuffles the votes again
     params = stage(_parameters(_posterior(counted, None), smoothing), "raters")
-    for _ in range(rounds):
+    while True:
         new = stage(_parameters(_posterior(counted, params), smoothing), "raters")
         both = new.alias("x").join(params.alias("y"), ["judge", "shown", "label"])
         moved = both.agg(F.max(F.greatest(*[F.abs(F.exp(f"x.log{i}") - F.exp(f"y.log{i}")) for i in range(len(LABELS))]))).first()[0]
+        release(params)
         params = new
         if moved is None or moved < tolerance:
             break
@@ -107,7 +110,11 @@ def estimate(votes: DataFrame, smoothing: float = 1.0, rounds: int = 12, toleran
     top = F.greatest(*[f"q{i}" for i in range(len(LABELS))])
     consensus = F.coalesce(*[F.when(F.col(f"q{i}") == top, F.lit(x)) for i, x in enumerate(LABELS)])
     pairs = sum((F.col(f"n{i}") * (F.col(f"n{i}") - 1) for i in range(1, len(LABELS))), F.col("n0") * (F.col("n0") - 1))
-    return items.select("item", consensus.alias("consensus"), top.alias("posterior"), "judges", "votes", F.when(F.col("votes") > 1, pairs / (F.col("votes") * (F.col("votes") - 1))).alias("agreement")), params
+    items = items.select("item", consensus.alias("consensus"), top.alias("posterior"), "judges", "votes", F.when(F.col("votes") > 1, pairs / (F.col("votes") * (F.col("votes") - 1))).alias("agreement"))
+    items = stage(items, "items")
+    counted.unpersist()
+    release(staged)
+    return items, params
 
 
 def reliability(raters: DataFrame, votes: DataFrame) -> DataFrame:

@@ -21,6 +21,12 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.least("eval_id", "train_id").alias("sample_id_1"), F.greatest("eval_id", "train_id").alias("sample_id_2"))
 
 
+def p1_ways(spark: SparkSession, folder: str) -> DataFrame:
+    """How many pairs each way finds first: equal hashes, the same words, variants."""
+    found = overlap.split_overlap_pairs(_table(spark, folder, "dataset"), "sample_id", "text", "split", ["train"], EVALUATION)
+    return found.groupBy("way").agg(F.count("*").alias("pairs"))
+
+
 def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.overlap_report(_table(spark, folder, "dataset"), "sample_id", "text", "split", "source", ["train"], EVALUATION)
 
@@ -78,7 +84,7 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_report(spark: SparkSession, folder: str) -> DataFrame:
-    return tokenizer.token_report(_table(spark, folder, "documents"), "doc_id", "text", "source").withColumnRenamed("group", "source")
+    return tokenizer.token_report(_table(spark, folder, "documents"), "text", "source").withColumnRenamed("group", "source")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,6 +100,6 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.restored_texts(_table(spark, folder, "documents"), "doc_id", "text", "source").withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p2_packed, p2_report, p3_found, p3_report, p4_found, p4_questions, p4_judges, p4_agreement, p5_found, p5_groups, p6_ids, p6_report, p7_found, p8_found, p8_restored)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_ways, p1_report, p2_packed, p2_report, p3_found, p3_report, p4_found, p4_questions, p4_judges, p4_agreement, p5_found, p5_groups, p6_ids, p6_report, p7_found, p8_found, p8_restored)}
 
 SQL: dict[str, str] = {}

@@ -75,13 +75,13 @@ def test_splits(spark):
     base = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     rows = [
         (1, "train", "s", base), (2, "train", "s", base + " lambda"), (3, "test", "s", base.upper().replace(" ", ", ")), (4, "validation", None, base), (5, "test", "s", "other words here"),
-        (6, "test", "s", None), (7, "train", "s", ""), (8, "other", "s", base), (9, None, "s", base), (3, "test", "s", base),
+        (6, "test", "s", None), (7, "train", "s", ""), (8, "other", "s", base), (9, None, "s", base), (3, "test", "s", base), (10, "test", "t", " ".join(base.split()[::-1])),
     ]
     df = spark.createDataFrame(rows, "id int, split string, source string, text string")
-    got = {(r.eval_id, r.train_id, r.exact) for r in overlap.split_overlap_pairs(df, "id", "text", "split", ["train"], ["validation", "test"]).distinct().collect()}
-    assert got == {(3, 1, True), (3, 2, False), (4, 1, True), (4, 2, False)}
+    got = sorted((r.eval_id, r.train_id, r.way) for r in overlap.split_overlap_pairs(df, "id", "text", "split", ["train"], ["validation", "test"]).collect())
+    assert got == [(3, 1, 1), (3, 2, 3), (4, 1, 1), (4, 2, 3), (10, 1, 2), (10, 2, 3)]
     report = {(r.split, r.source): (r.records, r.overlapping, r.exact, r.pairs) for r in overlap.overlap_report(df.dropDuplicates(["id"]), "id", "text", "split", "source", ["train"], ["validation", "test"]).collect()}
-    assert report == {("test", "s"): (3, 1, 1, 2), ("validation", None): (1, 1, 1, 2)}
+    assert report == {("test", "s"): (3, 1, 1, 2), ("validation", None): (1, 1, 1, 2), ("test", "t"): (1, 1, 0, 2)}
     assert overlap.split_overlap_pairs(df.limit(0), "id", "text", "split", ["train"], ["test"]).count() == 0
 
 
