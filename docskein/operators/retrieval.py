@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from docskein.functions import text as tx
+from docskein.session import release, stage
 
 
 def top_k(hits: DataFrame, k: int | Column, query: str = "qid", doc: str = "doc_id", score: str = "score") -> DataFrame:
@@ -40,12 +41,30 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75)
     return weighted.join(asked, "term").groupBy("qid", "doc_id").agg(F.round(F.sum("weight"), 6).alias("score"))
 
 
-def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, block: int = 2048) -> DataFrame:
+def in_blocks(blocks: int, make) -> DataFrame:
+    """The union of make(i) for each block i; make returns (result, broadcasts and staged tables to let go).
+
+    With several blocks each result is staged before the next block is sent, so that one block is held at a time.
+    """
+    out = None
+    for i in range(blocks):
+        part, held = make(i)
+        if blocks > 1:
+            part = stage(part, "block")
+            for x in held:
+                release(x) if isinstance(x, DataFrame) else x.destroy()
+        out = part if out is None else out.union(part)
+    return out
+
+
+def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, block: int = 2048, block_terms: int = 500_000) -> DataFrame:
     """The k best of bm25 for a stated set of queries, with their rank, without ever forming the pairs of queries and documents.
 
-    Counts of the queries' words come from one small aggregation. Then the documents are scanned in place, once for each block
-    of at most block queries: a task multiplies the term weights of its batch with the queries' terms and passes on the k best
-    of the batch for each query (and what ties with the last of them). Nulls and repeated rows are treated as in bm25.
+    The queries go in blocks of about block queries and block_terms terms, which bounds what is broadcast: the terms, and for each
+    term its queries. For each block the documents are read and split into words once; what is left of them, the counts of the
+    block's terms, is staged. Document frequencies and lengths come from that table, and a second narrow pass over it adds up the
+    scores of a batch (frequent terms as a dense product, the others by their lists of queries) and passes on the k best of the
+    batch for each query, and what ties with the last of them. Nulls and repeated rows are treated as in bm25.
     """
     import numpy as np
     import pyarrow as pa
@@ -53,49 +72,80 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b:
 
     spark = docs.sparkSession
     tokens = docs.select("doc_id", tx.words("text").alias("words"))
-    asked = queries.select("qid", tx.terms("text").alias("terms")).where(F.size("terms") > 0)
-    n, mean = tokens.agg(F.count("*"), F.avg(F.size("words"))).first()
-    blocks = max(1, -(-asked.count() // block))
+    asked = stage(queries.select("qid", tx.terms("text").alias("terms")).where(F.size("terms") > 0), "asked")
+    count, total = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    blocks = max(1, -(-count // block), -(-total // block_terms))
     qid_type = to_arrow_type(queries.schema["qid"].dataType)
-    kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double"
-    out = None
-    for i in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
-        rows = part.orderBy("qid").collect()
-        vocabulary = part.select(F.explode("terms").alias("term")).distinct()
-        found = tokens.select(F.explode(F.array_distinct("words")).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).collect()
-        df = {r.term: r.df for r in found}  # no more than the words of a block of queries
-        terms = sorted(df)
+    doc_kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def make(i: int):
+        rows = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).orderBy("qid").collect()
+        terms = sorted({t for r in rows for t in r.terms})
         place = {t: j for j, t in enumerate(terms)}
-        wanted = np.zeros((len(terms), len(rows)))
-        for column, r in enumerate(rows):
-            wanted[[place[t] for t in r.terms if t in place], column] = 1
-        counts = np.array([df[t] for t in terms], dtype=np.float64)
-        shared = spark.sparkContext.broadcast((terms, np.log(1 + (n - counts + 0.5) / (counts + 0.5)), wanted, [r.qid for r in rows]))
+        words = spark.sparkContext.broadcast(terms)
 
-        def scan(batches, shared=shared):
-            terms, idf, wanted, qids = shared.value
-            known = pa.array(terms, pa.string())
+        def keep(batches):
+            known = pa.array(words.value, pa.string())
+            for batch in batches:
+                lists = batch.column(1)
+                length = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+                at = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                cell, tf = np.unique((np.repeat(np.arange(len(length)), length) * len(known) + at)[at >= 0], return_counts=True)
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(cell // max(1, len(known)), minlength=len(length)))]), pa.int32())
+                kept = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (cell % max(1, len(known)), tf)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(length, pa.int32()), *kept], ["doc_id", "length", "terms", "tf"])
+
+        held = stage(tokens.mapInArrow(keep, f"doc_id {doc_kind}, length int, terms array<int>, tf array<int>"), "postings")
+        n, mean = held.agg(F.count("*"), F.avg("length")).first()
+        counts = np.zeros(len(terms))
+        for r in held.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # no more than the block's terms
+            counts[r[0]] = r[1]
+        # the queries of each term, in one array
+        of = [[] for _ in terms]
+        for column, r in enumerate(rows):
+            for t in r.terms:
+                of[place[t]].append(column)
+        many = np.array([len(x) for x in of], dtype=np.int64)
+        frequent = np.flatnonzero(many * 8 > len(rows))  # at most 8 times the mean number of terms of a query
+        dense = np.zeros((len(frequent), len(rows)))
+        for j, t in enumerate(frequent):
+            dense[j, of[t]] = 1
+        lists = np.array([q for x in of for q in x], dtype=np.int32)
+        shared = spark.sparkContext.broadcast(([r.qid for r in rows], np.log(1 + (n - counts + 0.5) / (counts + 0.5)), many, lists, frequent, dense))
+
+        def scan(batches):
+            qids, idf, many, lists, frequent, dense = shared.value
+            begin_of, width = np.cumsum(many) - many, len(qids)
+            column_of = np.full(len(many), -1)
+            column_of[frequent] = np.arange(len(frequent))
             for whole in batches:
                 for begin in range(0, whole.num_rows, 512):
                     batch = whole.slice(begin, 512)
-                    lists = batch.column(1)
-                    length = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-                    at = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
-                    cell = np.repeat(np.arange(len(length)) * len(terms), length)[at >= 0] + at[at >= 0]
-                    if not len(cell):
+                    length = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
+                    size = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
+                    term, tf = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in (2, 3))
+                    if not len(term):
                         continue
-                    tf = np.bincount(cell, minlength=len(length) * len(terms)).reshape(len(length), len(terms)).astype(np.float64)
-                    weight = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[:, None] / mean))
-                    score = np.round(weight @ wanted, 6).T
-                    keep = min(k, score.shape[1])
-                    floor = -np.partition(-score, keep - 1, axis=1)[:, keep - 1 : keep]
+                    doc = np.repeat(np.arange(len(size)), size)
+                    weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / mean))
+                    often = column_of[term] >= 0
+                    some = np.zeros((len(size), len(frequent)))
+                    some[doc[often], column_of[term[often]]] = weight[often]
+                    score = some @ dense
+                    term, doc, weight = term[~often], doc[~often], weight[~often]
+                    each = many[term]
+                    at = np.repeat(begin_of[term], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                    score += np.bincount(np.repeat(doc, each) * width + lists[at], np.repeat(weight, each), len(size) * width).reshape(len(size), width)
+                    score = np.round(score, 6).T
+                    keep_ = min(k, score.shape[1])
+                    floor = -np.partition(-score, keep_ - 1, axis=1)[:, keep_ - 1 : keep_]
                     q, d = np.nonzero((score >= floor) & (score > 0))
                     yield pa.RecordBatch.from_arrays([pa.array([qids[x] for x in q], qid_type), batch.column(0).take(pa.array(d)), pa.array(score[q, d])], ["qid", "doc_id", "score"])
 
-        hits = tokens.mapInArrow(scan, kinds)
-        out = hits if out is None else out.union(hits)
-    return top_k(out, k)
+        hits = held.mapInArrow(scan, f"qid {queries.schema['qid'].dataType.simpleString()}, doc_id {doc_kind}, score double")
+        return top_k(hits, k), [words, shared, held]
+
+    return in_blocks(blocks, make)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -121,14 +171,14 @@ def dense_hits(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048
     blocks = max(1, -(-asked.count() // block))
     qid_type = to_arrow_type(queries.schema["qid"].dataType)
     kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, doc_id {vectors.schema['doc_id'].dataType.simpleString()}, score double"
-    out = None
-    for i in range(blocks):
+
+    def make(i: int):
         rows = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).orderBy("qid").collect()
         sizes = sorted({len(r.vec) for r in rows})
         data = [(n, [r.qid for r in rows if len(r.vec) == n], np.array([r.vec for r in rows if len(r.vec) == n], dtype=np.float64)) for n in sizes]
         shared = spark.sparkContext.broadcast(data)
 
-        def scan(batches, shared=shared):
+        def scan(batches):
             for batch in batches:
                 ids, vecs = batch.column(0), batch.column(1)
                 length = np.array([len(v) if v is not None else 0 for v in vecs.to_pylist()])
@@ -145,48 +195,53 @@ def dense_hits(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048
                     q, d = np.nonzero(score >= floor)
                     yield pa.RecordBatch.from_arrays([pa.array([qids[x] for x in q], qid_type), ids.take(pa.array(at[d])), pa.array(score[q, d])], ["qid", "doc_id", "score"])
 
-        part = vectors.select("doc_id", "vec").mapInArrow(scan, kinds)
-        out = part if out is None else out.union(part)
-    return top_k(out, k)
+        return top_k(vectors.select("doc_id", "vec").mapInArrow(scan, kinds), k), [shared]
+
+    return in_blocks(blocks, make)
 
 
-def max_sim(doc_tokens: DataFrame, query_tokens: DataFrame) -> DataFrame:
+def max_sim(doc_tokens: DataFrame, query_tokens: DataFrame, block_tokens: int = 20_000) -> DataFrame:
     """Late interaction: for each query token the best cosine in a document, summed. doc_tokens: doc_id, vec; query_tokens: qid, tok, vec.
 
-    query_tokens is a stated query set of checked size (at most 100,000 tokens at once). Each task reduces its own document
-    tokens to one best score for each document and query token before anything is shuffled.
+    query_tokens is a stated query set, sent in blocks of about block_tokens tokens. Each task reduces its own document tokens to
+    one best score for each document and query token before anything is shuffled.
     """
     import numpy as np
     import pyarrow as pa
 
-    rows = query_tokens.select("qid", "tok", "vec").where("size(vec) > 0").orderBy("qid", "tok").limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("too many query tokens at once: split the queries")
-    shared = doc_tokens.sparkSession.sparkContext.broadcast(([r.qid for r in rows], [r.tok for r in rows], np.array([r.vec for r in rows], dtype=np.float64)))
+    spark = doc_tokens.sparkSession
+    asked = query_tokens.select("qid", "tok", "vec").where("size(vec) > 0")
+    blocks = max(1, -(-asked.count() // block_tokens))
     qid_type, tok_type = (to_arrow_type(query_tokens.schema[c].dataType) for c in ("qid", "tok"))
     schema = f"qid {query_tokens.schema['qid'].dataType.simpleString()}, tok {query_tokens.schema['tok'].dataType.simpleString()}, doc_id {doc_tokens.schema['doc_id'].dataType.simpleString()}, best double"
 
-    def scan(batches):
-        qids, toks, matrix = shared.value
-        if not len(qids):
-            return
-        unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        for batch in batches:
-            ids, inverse = np.unique(np.array(batch.column(0).to_pylist()), return_inverse=True)
-            vecs = batch.column(1).to_pylist()
-            ok = [i for i, v in enumerate(vecs) if v is not None and len(v) == matrix.shape[1]]
-            if not ok:
-                continue
-            own = np.array([vecs[i] for i in ok], dtype=np.float64)
-            score = unit @ (own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-300)).T
-            best = np.full((len(qids), len(ids)), -2.0)
-            for column, doc in enumerate(inverse[ok]):
-                np.maximum(best[:, doc], score[:, column], out=best[:, doc])
-            q, d = np.nonzero(best > -2)
-            yield pa.RecordBatch.from_arrays([pa.array([qids[x] for x in q], qid_type), pa.array([toks[x] for x in q], tok_type), pa.array(ids[d]).cast(batch.schema.field(0).type), pa.array(best[q, d])], ["qid", "tok", "doc_id", "best"])
-
-    best = doc_tokens.select("doc_id", "vec").mapInArrow(scan, schema).groupBy("qid", "tok", "doc_id").agg(F.max("best").alias("best"))
-    return best.groupBy("qid", "doc_id").agg(F.round(F.sum("best"), 6).alias("score"))
+    def make(i: int):
+        rows = asked.where(F.pmod(F.xxhash64("qid", "tok"), F.lit(blocks)) == i).orderBy("qid", "tok").collect()
+        shared = spark.sparkContext.broadcast(([r.qid for r in rows], [r.tok for r in rows], np.array([r.vec for r in rows], dtype=np.float64)))
+
+        def scan(batches):
+            qids, toks, matrix = shared.value
+            if not len(qids):
+                return
+            unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+            for batch in batches:
+                vecs = batch.column(1).to_pylist()
+                ok = [i for i, v in enumerate(vecs) if v is not None and len(v) == matrix.shape[1]]
+                if not ok:
+                    continue
+                ids, inverse = np.unique(np.array(batch.column(0).take(pa.array(ok)).to_pylist()), return_inverse=True)
+                own = np.array([vecs[i] for i in ok], dtype=np.float64)
+                order = np.argsort(inverse, kind="stable")
+                score = unit @ (own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-300)).T[:, order]
+                best = np.maximum.reduceat(score, np.flatnonzero(np.diff(inverse[order], prepend=-1)), axis=1)
+                q, d = np.divmod(np.arange(best.size), len(ids))
+                yield pa.RecordBatch.from_arrays([pa.array([qids[x] for x in q], qid_type), pa.array([toks[x] for x in q], tok_type), pa.array(ids[d]).cast(batch.schema.field(0).type), pa.array(best.ravel())], ["qid", "tok", "doc_id", "best"])
+
+        best = doc_tokens.where("doc_id IS NOT NULL").select("doc_id", "vec").mapInArrow(scan, schema).groupBy("qid", "tok", "doc_id").agg(F.max("best").alias("best"))
+        return best.groupBy("qid", "doc_id").agg(F.sum("best").alias("score")), [shared]
+
+    # a query's tokens may lie in several blocks
+    return in_blocks(blocks, make).groupBy("qid", "doc_id").agg(F.round(F.sum("score"), 6).alias("score"))
 
 
 def linear_fusion(dense: DataFrame, sparse: DataFrame, k: int, dense_weight: float = 0.4, sparse_weight: float = 0.6) -> DataFrame:
@@ -206,7 +261,7 @@ def reciprocal_rank_fusion(runs: list[DataFrame], k: int, constant: int = 60) ->
 
 
 def hybrid(dense: DataFrame, sparse: DataFrame, k: int, constant: int = 60) -> DataFrame:
-    """Fused where a query has sparse hits, its dense hits where it has none."""
+    """Fused where a query has sparse hits, its dense hits where it has none. Both hit lists are read twice: stage them if they are costly."""
     asked = sparse.select("qid").distinct()
     fused = reciprocal_rank_fusion([dense.join(asked, "qid", "left_semi"), sparse], k, constant)
     alone = dense.join(asked, "qid", "left_anti").where(F.col("rank") <= k)

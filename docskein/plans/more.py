@@ -67,14 +67,14 @@ PARTS = r"""parts AS (SELECT item_id, row_number() OVER (PARTITION BY item_id OR
 
 
 @query(
-    f"""WITH {PARTS}, {bm25_sql('SELECT doc_id, text FROM documents', 'SELECT item_id * 10 + part AS qid, text FROM parts')}, {top_sql('scored', '2', 'hits')},
- b AS (SELECT qid // 10 AS item_id, doc_id, max(score) AS score FROM hits GROUP BY 1, 2) SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS place FROM b"""
+    f"""WITH {PARTS}, {bm25_sql('SELECT doc_id, text FROM documents', "SELECT item_id || ':' || part AS qid, text FROM parts")}, {top_sql('scored', '2', 'hits')},
+ b AS (SELECT split_part(qid, ':', 1)::BIGINT AS item_id, doc_id, max(score) AS score FROM hits GROUP BY 1, 2) SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS place FROM b"""
 )
 def r_sub_query_fanout(spark, folder):
     """Each part of a question is a query of its own; a document counts with its best part."""
     parts = table(spark, folder, "golden_dataset").select("item_id", F.posexplode(un.sub_questions("question")).alias("part", "text"))
-    hits = rt.bm25_top_k(documents(spark, folder), parts.select((F.col("item_id") * 10 + F.col("part")).alias("qid"), "text"), 2)
-    best = hits.groupBy(F.floor(F.col("qid") / 10).alias("item_id"), "doc_id").agg(F.max("score").alias("score"))
+    hits = rt.bm25_top_k(documents(spark, folder), parts.select(F.concat_ws(":", "item_id", "part").alias("qid"), "text"), 2)
+    best = hits.groupBy(F.split("qid", ":")[0].cast("long").alias("item_id"), "doc_id").agg(F.max("score").alias("score"))
     return best.withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("score").desc(), "doc_id")))
 
 

@@ -9,6 +9,7 @@ from docskein.operators import evaluation as ev
 from docskein.operators import irmetrics as ir
 from docskein.operators import retrieval as rt
 from docskein.plans.registry import query, table
+from docskein.session import stage
 
 WORD = r"[\pL\pN\pM_]+"
 #: An identifier in DuckDB's spelling.
@@ -33,9 +34,10 @@ def top_sql(source: str, k: str, name: str) -> str:
 
 DOCS = "SELECT doc_id, text FROM documents"
 QUESTIONS = "SELECT item_id AS qid, question AS text FROM golden_dataset"
-ANSWERS = "SELECT item_id AS qid, reference_answer AS text FROM golden_dataset"
 BM25 = f"WITH {bm25_sql(DOCS, QUESTIONS)}, {top_sql('scored', '10', 'hits')}"
-TWO = f"WITH {bm25_sql(DOCS, QUESTIONS, 'a')}, {top_sql('a', '20', 'ra')}, {bm25_sql(DOCS, ANSWERS, 'b')}, {top_sql('b', '20', 'rb')}"
+#: Vectors stand for the documents and golden items of the same id.
+DENSE = "v AS (SELECT q.vec_id AS qid, d.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN golden_dataset ON q.vec_id = item_id, embeddings d)"
+TWO = f"WITH {DENSE}, {top_sql('v', '20', 'ra')}, {bm25_sql(DOCS, QUESTIONS, 'b')}, {top_sql('b', '20', 'rb')}"
 #: A document is relevant for a golden item whose identifiers it has.
 QRELS = f"""qrels AS (SELECT DISTINCT qid, doc_id, 1 AS rel FROM (SELECT item_id AS qid, unnest(regexp_extract_all(question, '{NAME}')) AS name FROM golden_dataset)
    JOIN (SELECT doc_id, unnest(regexp_extract_all(text, '{NAME}')) AS name FROM documents) USING (name))"""
@@ -89,15 +91,26 @@ def m_metrics(spark, folder):
     return ir.metrics_at(runs, qrels(spark, folder)).select("run", "qid", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "mrr", "ndcg")])
 
 
+def dense_run(spark, folder, k=20):
+    """Vectors of the golden items' ids against all vectors."""
+    asked = golden(spark, folder).select("qid").join(vectors(spark, folder).select(F.col("doc_id").alias("qid"), "vec"), "qid")
+    return rt.dense_hits(vectors(spark, folder), asked, k)
+
+
+def two_runs(spark, folder):
+    """A dense and a sparse run over the same ids, each written once."""
+    return stage(dense_run(spark, folder), "dense"), stage(bm25_run(spark, folder, 20), "sparse")
+
+
 def _runs(spark, folder):
-    a, b = bm25_run(spark, folder, 20), bm25_run(spark, folder, 20, "reference_answer")
-    fused = rt.reciprocal_rank_fusion([a, b], 10)
-    return a.withColumn("run", F.lit("bm25 question")).unionByName(b.withColumn("run", F.lit("bm25 answer"))).unionByName(fused.withColumn("run", F.lit("rrf")))
+    dense, sparse = two_runs(spark, folder)
+    fused = rt.reciprocal_rank_fusion([dense, sparse], 10)
+    return dense.withColumn("run", F.lit("dense")).unionByName(sparse.withColumn("run", F.lit("bm25"))).unionByName(fused.withColumn("run", F.lit("rrf")))
 
 
 COMPARED = f"""{TWO}, {QRELS},
  fused AS (SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT * FROM ra UNION ALL SELECT * FROM rb) GROUP BY 1, 2), {top_sql('fused', '10', 'rf')},
- runs AS (SELECT 'bm25 question' AS run, * FROM ra UNION ALL SELECT 'bm25 answer', * FROM rb UNION ALL SELECT 'rrf', * FROM rf),
+ runs AS (SELECT 'dense' AS run, * FROM ra UNION ALL SELECT 'bm25', * FROM rb UNION ALL SELECT 'rrf', * FROM rf),
  need AS (SELECT qid, count(*) AS total, sum(CASE WHEN i <= 10 THEN 1 / log2(i + 1) ELSE 0 END) AS idcg FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY doc_id) AS i FROM qrels) GROUP BY 1),
  got AS (SELECT run, qid, count(*) AS h, max(1.0::DOUBLE / rank) AS m, sum(1 / log2(rank + 1)) AS dcg FROM runs JOIN qrels USING (qid, doc_id) WHERE rank <= 10 GROUP BY 1, 2),
  each AS (SELECT r.run, coalesce(h, 0) / 10 AS p, coalesce(h, 0) / total AS r, coalesce(m, 0) AS m, coalesce(dcg, 0) / idcg AS g FROM (SELECT DISTINCT run FROM runs) r CROSS JOIN need LEFT JOIN got ON got.run = r.run AND got.qid = need.qid),
@@ -105,7 +118,7 @@ COMPARED = f"""{TWO}, {QRELS},
  table_ AS (SELECT *, round(0.25 * (precision + recall + mrr + ndcg), 6) AS overall FROM means)"""
 
 
-@query(f"{COMPARED} SELECT *, rank() OVER (ORDER BY overall DESC, run)::INT AS place, CASE WHEN run = 'rrf' THEN 'fusion' ELSE 'sparse' END AS category FROM table_")
+@query(f"{COMPARED} SELECT *, rank() OVER (ORDER BY overall DESC, run)::INT AS place, CASE WHEN run = 'rrf' THEN 'fusion' WHEN run = 'bm25' THEN 'sparse' ELSE 'dense' END AS category FROM table_")
 def m_compare_runs(spark, folder):
     table_ = ir.compare_runs(ir.metrics_at(_runs(spark, folder), qrels(spark, folder)))
     return table_.withColumn("category", ir.run_category(F.col("run")))
@@ -118,12 +131,12 @@ def g_unpivot_metrics(spark, folder):
 
 @query(f"{TWO}, fused AS (SELECT qid, doc_id, round(coalesce(ra.score, 0) * 0.4::DOUBLE + coalesce(rb.score, 0) * 0.6::DOUBLE, 6) AS score FROM ra FULL JOIN rb USING (qid, doc_id)), {top_sql('fused', '10', 'h')} SELECT * FROM h")
 def r_linear_fusion(spark, folder):
-    return rt.linear_fusion(bm25_run(spark, folder, 20), bm25_run(spark, folder, 20, "reference_answer"), 10)
+    return rt.linear_fusion(*two_runs(spark, folder), 10)
 
 
 @query(f"{TWO}, fused AS (SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT * FROM ra UNION ALL SELECT * FROM rb) GROUP BY 1, 2), {top_sql('fused', '10', 'h')} SELECT * FROM h")
 def r_rank_fusion(spark, folder):
-    return rt.reciprocal_rank_fusion([bm25_run(spark, folder, 20), bm25_run(spark, folder, 20, "reference_answer")], 10)
+    return rt.reciprocal_rank_fusion(list(two_runs(spark, folder)), 10)
 
 
 @query(
@@ -132,11 +145,44 @@ def r_rank_fusion(spark, folder):
  SELECT * FROM h UNION ALL SELECT * FROM ra WHERE rank <= 10 AND qid NOT IN (SELECT qid FROM sp)"""
 )
 def r_hybrid_fallback(spark, folder):
-    """Only simple questions have hits of the second kind; the others fall back to the first."""
+    """Only simple questions have sparse hits here; the others fall back to their dense ones."""
     simple = table(spark, folder, "golden_dataset").where("question_type = 'Simple'").select(F.col("item_id").alias("qid"))
-    sparse = bm25_run(spark, folder, 20, "reference_answer").join(simple, "qid")
-    dense = bm25_run(spark, folder, 20)
-    return rt.hybrid(dense, sparse, 10)
+    dense, sparse = two_runs(spark, folder)
+    return rt.hybrid(dense, sparse.join(simple, "qid"), 10)
+
+
+LATE = """l AS (SELECT qid, doc_id, round(sum(best), 6) AS score FROM (SELECT q.item_id AS qid, q.tok, d.vec_id // 4 AS doc_id, max(list_cosine_similarity(q.vec, d.embedding::DOUBLE[])) AS best
+   FROM (SELECT item_id, t AS tok, e.embedding::DOUBLE[] AS vec FROM golden_dataset, (SELECT unnest([0, 1, 2])::INT AS t), embeddings e WHERE e.vec_id = item_id + t) q, embeddings d GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+
+
+@query(
+    f"""{TWO}, {LATE}, {top_sql('l', '20', 'rl')},
+ fused AS (SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT * FROM ra UNION ALL SELECT * FROM rb UNION ALL SELECT * FROM rl) GROUP BY 1, 2), {top_sql('fused', '10', 'h')} SELECT * FROM h"""
+)
+def r_three_way_fusion(spark, folder):
+    """Reciprocal ranks over a dense, a sparse and a late-interaction run; four vectors are the tokens of a document, three those of a query."""
+    dense, sparse = two_runs(spark, folder)
+    vecs = vectors(spark, folder).select("doc_id", "vec")
+    asked = golden(spark, folder).select("qid", F.explode(F.array(*map(F.lit, range(3)))).alias("tok")).withColumn("doc_id", F.col("qid") + F.col("tok")).join(vecs, "doc_id").select("qid", "tok", "vec")
+    late = rt.top_k(rt.max_sim(vecs.select(F.floor(F.col("doc_id") / 4).alias("doc_id"), "vec"), asked), 20)
+    return rt.reciprocal_rank_fusion([dense, sparse, late], 10)
+
+
+@query(
+    f"""WITH p AS (SELECT item_id * 3 + i AS qid, item_id, name, text || ' ' || coalesce(question, '') AS text FROM golden_dataset, (SELECT * FROM (VALUES (0, 'plain', ''), (1, 'table', 'which table and field'), (2, 'call', 'which method is called')) t(i, name, text))),
+ {bm25_sql(DOCS, 'SELECT qid, text FROM p')}, {top_sql('scored', '10', 'hits')}, {QRELS},
+ m AS (SELECT name, p.item_id, count(r.doc_id) AS h FROM p LEFT JOIN hits USING (qid) LEFT JOIN qrels r ON r.qid = p.item_id AND r.doc_id = hits.doc_id GROUP BY 1, 2)
+ SELECT name AS run, count(*) AS queries, round(avg(h / 10.0::DOUBLE), 6) AS precision FROM m WHERE item_id IN (SELECT qid FROM qrels) GROUP BY 1"""
+)
+def r_prompt_variants(spark, folder):
+    """The same questions under several instructions, each a run of its own with its precision."""
+    prompts = spark.createDataFrame([(0, "plain", ""), (1, "table", "which table and field"), (2, "call", "which method is called")], "i int, run string, instruction string")
+    asked = golden(spark, folder).crossJoin(F.broadcast(prompts)).select(F.struct("run", "qid").alias("key"), F.concat("instruction", F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
+    hits = rt.bm25_top_k(documents(spark, folder), asked.select(F.concat_ws(":", "key.run", "key.qid").alias("qid"), "text"), 10)
+    rel = stage(qrels(spark, folder), "qrels")
+    met = hits.select(F.split("qid", ":")[0].alias("run"), F.split("qid", ":")[1].cast("long").alias("qid"), "doc_id").join(rel, ["qid", "doc_id"]).groupBy("run", "qid").agg(F.count("*").alias("h"))
+    judged = asked.select("key.run", "key.qid").join(rel.select("qid").distinct(), "qid", "left_semi")
+    return judged.join(met, ["run", "qid"], "left").groupBy("run").agg(F.count("*").alias("queries"), F.round(F.avg(F.coalesce("h", F.lit(0)) / 10.0), 6).alias("precision"))
 
 
 @query(
