@@ -247,10 +247,11 @@ def similar_texts(
     counts, _ = bucket_counts(rows, "text")
     prints = stage(fingerprint_table(rows, "id", "text", "side", counts, min_words, threshold), "fingerprints")
     members = prints.groupBy("id", "class").agg(F.min("side").alias("side"), F.min("n").alias("n"))
-    classes = prints.groupBy("class").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("p1").alias("p1"), F.min("p2").alias("p2"))
-    # One row of each class carries its words: copies are reduced on the map side before anything is shuffled.
+    # One row of each class carries its words: copies are reduced on the map side, and the classes are shuffled once for all levels.
     marks = F.lit(3) if side_col is None else F.bit_or(F.col("side") + 1)
-    found, used = _candidates(prints.groupBy("class").agg(F.first("n").alias("n"), F.first("words").alias("words"), marks.alias("marks")), threshold, crowd)
+    classes = prints.groupBy("class").agg(F.first("n").alias("n"), F.first("words").alias("words"), marks.alias("marks"), F.min("id").alias("id"), F.first("p1").alias("p1"), F.first("p2").alias("p2"))
+    classes = stage(classes, "classes")
+    found, used = _candidates(classes.select("class", "n", "words", "marks"), threshold, crowd)
     sketch = classes.select("class", "id", "n", "p1", "p2")
     pairs = (
         found.join(sketch.alias("x").withColumnRenamed("class", "a"), "a")
@@ -259,7 +260,7 @@ def similar_texts(
         .select("a", "b", F.col("x.id").alias("id_x"), F.col("y.id").alias("id_y"))
     )
     pairs = stage(pairs, "reachable")
-    release(*used)
+    release(*used, classes)
     wanted = pairs.select(F.col("id_x").alias("id")).union(pairs.select("id_y")).distinct()
     texts = rows.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
     both = pairs.join(texts.select(F.col("id").alias("id_x"), F.col("text").alias("text_x")), "id_x").join(texts.select(F.col("id").alias("id_y"), F.col("text").alias("text_y")), "id_y")
