@@ -6,13 +6,15 @@ The overlap of two texts is the number of distinct words they share divided by t
    the words, rare ones first, and so the cost; no result depends on them.
 2. A text of n words that keeps the overlap with another has at most e = n - ceil(threshold * n) words which the other lacks. So
    the first k words they share are among its first e + k. Its fingerprint is these words, and its ball all sets of k of them.
+   With a text that isn't smaller it shares at least 2 * threshold / (1 + threshold) * n words, so that fewer of its words need to
+   be looked at from that side (as in the PPJoin of Xiao et al., 2008); in the others it is only a probe for smaller texts.
 3. Two balls meet in a common variant, the set of the first k shared words; an equality shuffle on variants brings the
-   texts together. k begins at 1. A variant of more than ``crowd`` classes isn't paired out: each member passes it on with one
-   more of its words (k + 1), and so on up to ``DEPTH`` words, where all are paired out.
+   texts together. k begins at 1. A variant with more than ``crowd`` classes that aren't probes isn't paired out: each member passes
+   it on with one more of its words (k + 1), and so on up to ``DEPTH`` words, where all are paired out.
 4. Texts with equal word sets are one class before anything is emitted, so a group of copies costs one fingerprint.
-5. Where two texts meet, their sizes and the places of the variant's last word bound the words they can share, and pairs that
-   cannot reach the threshold stay out. The others are deduplicated; a parity sketch of 128 bits bounds the number of differing
-   words from below and throws out more (never one that can reach it); the rest are verified on their whole texts.
+5. Where two texts meet, their sizes and the places of the variant's last word bound the words they can share, and a parity
+   sketch of 128 bits bounds the number of differing words from below. Pairs that cannot reach the threshold stay out (never one
+   that can); the others are deduplicated and verified on their whole texts.
 
 Null or empty texts have no words and are in no pair. Repeated rows of one id count once. Extra columns are not read.
 """
@@ -111,80 +113,132 @@ def fingerprint_table(df: DataFrame, id_col: str, text_col: str, side_col: str,
 
 
 def _met(crowd: int | None, k: int, threshold: float):
-    """Pairs of classes next to each other under equal variants of k words, of rows sorted by variant: variant, class, tag.
+    """What meets under equal variants of k words, of rows sorted by variant and tag: variant, class, tag, p1, p2.
 
-    Yields (a, b, null, null) for a pair that can have the overlap and has different marks, and (a, null, variant, tag) for each
-    member of a crowded variant. A tag is size << 32 | place << 2 | marks; place is that of the variant's last word in the text.
-    marks: bit 1 for a class found on side 0, bit 2 for one on side 1, or 3 where sides don't matter.
+    Yields (a, b, null, null) for a pair of classes that can have the overlap and has different marks, and (a, null, variant, tag)
+    for each member of a crowded variant. A tag is probe << 62 | size << 32 | place << 2 | marks; place is that of the variant's last
+    word in the text. marks: bit 1 for a class found on side 0, bit 2 for one on side 1, or 3 where sides don't matter. Of two
+    similar texts the smaller one is never a probe, so only pairs with a row that isn't one are looked at, and these come first in
+    their variant: at most crowd of them are held, while any number of probes goes past in batches.
     """
 
-    def pairs(a, b) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *[pa.nulls(len(a), pa.int64())] * 2], ["a", "b", "hot", "tag"])
-
-    def passed(key, a, tag) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()), pa.array(key), pa.array(tag)], ["a", "b", "hot", "tag"])
-
-    def finished(keys, ids, tags):
-        new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        size = np.diff(np.append(new, len(keys)))
-        rank, size = np.arange(len(keys)) - np.repeat(new, size), np.repeat(size, size)
-        if crowd is not None and (size > crowd).any():
-            at = np.flatnonzero(size > crowd)
-            yield passed(keys[at], ids[at], tags[at])
-            size = np.where(size > crowd, 0, size)
-        n, marks = tags >> 32, tags & 3
-        most = k + n - ((tags >> 2) & 0x3FFFFFFF) - 1  # words it can share if these are the first k
-        x, step = np.arange(len(keys)), 1
-        while True:
-            x = x[rank[x] + step < size[x]]
-            if not len(x):
-                return
-            y = x + step
-            ok = np.minimum(most[x], most[y]) >= threshold / (1 + threshold) * (n[x] + n[y]) - 1e-6
-            ok &= np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-6
-            i, j = x[ok], y[ok]
-            ok = (ids[i] != ids[j]) & (((marks[i] & 1) & (marks[j] >> 1)) | ((marks[i] >> 1) & (marks[j] & 1)) > 0)
-            if ok.any():
-                yield pairs(ids[i[ok]], ids[j[ok]])
-            step += 1
+    def passed(rows) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[1]), pa.nulls(len(rows[1]), pa.int64()), pa.array(rows[0]), pa.array(rows[2])], ["a", "b", "hot", "tag"])
+
+    def pairs(x, y) -> Iterator[pa.RecordBatch]:
+        """x, y: rows next to each other that meet."""
+        nx, ny = ((z[2] >> 32) & 0x3FFFFFFF for z in (x, y))
+        most = [k + n - ((z[2] >> 2) & 0x3FFFFFFF) - 1 for n, z in ((nx, x), (ny, y))]  # words it can share if these are the first k
+        mx, my = x[2] & 3, y[2] & 3
+        ok = np.minimum(*most) >= threshold / (1 + threshold) * (nx + ny) - 1e-6
+        ok &= np.minimum(nx, ny) >= threshold * np.maximum(nx, ny) - 1e-6
+        ok &= (x[1] != y[1]) & (((mx & (my >> 1)) | ((mx >> 1) & my)) > 0)
+        at = np.flatnonzero(ok)
+        differing = sum(np.bitwise_count((x[c][at] ^ y[c][at]).view(np.uint64)).astype(np.int64) for c in (3, 4))
+        at = at[differing <= (1 - threshold) / (1 + threshold) * (nx + ny)[at] + 1e-6]
+        if len(at):
+            i, j = x[1][at], y[1][at]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), *[pa.nulls(len(i), pa.int64())] * 2], ["a", "b", "hot", "tag"])
+
+    def meet(rows, first, many) -> Iterator[pa.RecordBatch]:
+        """Each row with the many rows from place first on, in parts of a bounded number of pairs."""
+        total = np.cumsum(many)
+        begin = 0
+        while begin < len(many):
+            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + 1_000_000, side="right")))
+            n = many[begin:end]
+            y = np.repeat(np.arange(begin, end), n)
+            x = np.repeat(first[begin:end], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            if len(x):
+                yield from pairs([c[x] for c in rows], [c[y] for c in rows])
+            begin = end
+
+    def finished(rows) -> Iterator[pa.RecordBatch]:
+        """Whole variants."""
+        new = np.flatnonzero(np.append(True, rows[0][1:] != rows[0][:-1]))
+        size = np.diff(np.append(new, len(rows[0])))
+        held = np.add.reduceat((rows[2] >> 62 == 0).astype(np.int64), new)
+        first, rank = np.repeat(new, size), np.arange(len(rows[0])) - np.repeat(new, size)
+        held = np.repeat(held, size)
+        if crowd is not None and (held > crowd).any():
+            yield passed([c[held > crowd] for c in rows])
+            held = np.where(held > crowd, 0, held)
+        yield from meet(rows, first, np.minimum(held, rank))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, tags = (np.empty(0, dtype=np.int64) for _ in range(3))
-        crowded = None  # the variant whose members have begun to be passed on
+        none = [np.empty(0, dtype=np.int64)] * 5
+        held, key, probing, hot = none, None, False, False  # the rows of the last variant that aren't probes
+
+        def more(rows) -> Iterator[pa.RecordBatch]:
+            """Further rows of the last variant."""
+            nonlocal held, probing, hot
+            at = int(np.searchsorted(rows[2] >> 62, 1))
+            if at and not hot:
+                held = [np.concatenate([h, c[:at]]) for h, c in zip(held, rows)]
+                if crowd is not None and len(held[0]) > crowd:
+                    hot = True
+                    yield passed(held)
+                    held = none
+            elif at:
+                yield passed([c[:at] for c in rows])
+            if at < len(rows[0]):
+                rest = [c[at:] for c in rows]
+                if hot:
+                    yield passed(rest)
+                    return
+                yield from closed()
+                probing = True
+                m = len(held[0])
+                both = [np.concatenate([h, c]) for h, c in zip(held, rest)]
+                count = np.concatenate([np.zeros(m, dtype=np.int64), np.full(len(rest[0]), m)])
+                yield from meet(both, np.zeros(len(count), dtype=np.int64), count)
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            """The held rows with one another, once."""
+            if not probing and not hot and len(held[0]) > 1:
+                yield from meet(held, np.zeros(len(held[0]), dtype=np.int64), np.arange(len(held[0])))
+
         for batch in batches:
-            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)]
-            if crowded is not None:
-                n = int(np.searchsorted(new[0], crowded, side="right"))
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)]
+            if not len(rows[0]):
+                continue
+            if key is not None:
+                n = int(np.searchsorted(rows[0], key, side="right"))
                 if n:
-                    yield passed(*(x[:n] for x in new))
-                if n == len(new[0]):
+                    yield from more([c[:n] for c in rows])
+                if n == len(rows[0]):
                     continue
-                new, crowded = [x[n:] for x in new], None
-            keys, ids, tags = (np.concatenate(x) for x in zip((keys, ids, tags), new))
-            last = int(np.searchsorted(keys, keys[-1], side="left")) if len(keys) else 0
+                yield from closed()
+                rows = [c[n:] for c in rows]
+            last = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
             if last:
-                yield from finished(keys[:last], ids[:last], tags[:last])
-            keys, ids, tags = keys[last:], ids[last:], tags[last:]
-            if crowd is not None and len(keys) > crowd:
-                yield passed(keys, ids, tags)
-                crowded = keys[-1]
-                keys, ids, tags = keys[:0], ids[:0], tags[:0]
-        if len(keys):
-            yield from finished(keys, ids, tags)
+                yield from finished([c[:last] for c in rows])
+            held, key, probing, hot = none, rows[0][-1], False, False
+            yield from more([c[last:] for c in rows])
+        yield from closed()
 
     return run
 
 
+def _tag(place: Column, k: int, threshold: float, end: Column | None = None) -> Column:
+    """The tag of a class in a variant of k words with its last word at a place; see _met."""
+    n = F.col("n").cast("long")
+    shared = F.ceil(2 * threshold / (1 + threshold) * F.col("n") - 1e-9)  # with a text that isn't smaller
+    probe = place >= F.col("n") - shared + k
+    if end is not None:
+        probe = probe & ~end
+    return F.shiftleft(probe.cast("long"), 62) + F.shiftleft(n, 32) + F.shiftleft(place.cast("long"), 2) + F.col("marks")
+
+
 def _candidates(carried: DataFrame, threshold: float, crowd: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(a, b: the pairs of classes (class, n, words, marks) that meet in a variant and can have the overlap by sizes and places,
-    the staged tables they are read from)."""
+    """(a, b: the pairs of classes (class, n, words, marks, p1, p2) that meet in a variant and can have the overlap by sizes, places
+    and parities, the staged tables they are read from)."""
     carried = carried.withColumn("least", F.ceil(threshold * F.col("n") - 1e-9).cast("int"))
-    own = F.shiftleft(F.col("n").cast("long"), 32) + F.col("marks")
-    emitted = carried.select(F.posexplode(F.slice("words", 1, F.col("n") - F.col("least") + 1)).alias("place", "variant"), "class", own.alias("own"))
-    emitted = emitted.select("variant", "class", (F.col("own") + F.shiftleft(F.col("place").cast("long"), 2)).alias("tag"))
+    emitted = carried.select(F.posexplode(F.slice("words", 1, F.col("n") - F.col("least") + 1)).alias("place", "variant"), "class", "n", "marks", "p1", "p2")
+    emitted = emitted.select("variant", "class", _tag(F.col("place"), 1, threshold).alias("tag"), "p1", "p2")
     found, used = None, []
     for k in range(1, DEPTH + 1):
-        met = emitted.repartition("variant").sortWithinPartitions("variant").mapInArrow(_met(crowd if k < DEPTH else None, k, threshold), "a long, b long, hot long, tag long")
+        met = emitted.repartition("variant").sortWithinPartitions("variant", "tag").mapInArrow(_met(crowd if k < DEPTH else None, k, threshold), "a long, b long, hot long, tag long")
         met = stage(met, "met")
         used.append(met)
         pairs = met.where("hot IS NULL").select("a", "b")
@@ -200,18 +254,11 @@ def _candidates(carried: DataFrame, threshold: float, crowd: int) -> tuple[DataF
         )
         further = F.when(place + 1 <= F.least(F.col("n") - F.col("least") + k, F.col("n") - 1), further).otherwise(F.array().cast("array<struct<place:int,word:bigint>>"))
         end = F.when(F.col("least") <= k, F.array(F.struct(F.col("n").alias("place"), F.lit(-1).cast("long").alias("word")))).otherwise(F.array().cast("array<struct<place:int,word:bigint>>"))
-        more = hot.join(carried, "class").select("class", "hot", own.alias("own"), F.explode(F.concat(further, end)).alias("next")).where("next.word IS NOT NULL")
-        emitted = more.select(F.xxhash64("hot", "next.word").alias("variant"), "class", (F.col("own") + F.shiftleft(F.col("next.place").cast("long"), 2)).alias("tag"))
+        more = hot.join(carried, "class").select("class", "hot", "n", "marks", "p1", "p2", F.explode(F.concat(further, end)).alias("next")).where("next.word IS NOT NULL")
+        emitted = more.select(F.xxhash64("hot", "next.word").alias("variant"), "class", _tag(F.col("next.place"), k + 1, threshold, F.col("next.word") == -1).alias("tag"), "p1", "p2")
     return found.distinct(), used
 
 
-def _reachable(threshold: float) -> Column:
-    """Whether classes x and y can have the overlap, by their sizes and parity sketches."""
-    differing = F.bit_count(F.col("x.p1").bitwiseXOR(F.col("y.p1"))) + F.bit_count(F.col("x.p2").bitwiseXOR(F.col("y.p2")))
-    both = F.col("x.n") + F.col("y.n")
-    return (differing <= (1 - threshold) / (1 + threshold) * both + 1e-6) & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-6)
-
-
 def _overlaps(text_x: list, text_y: list) -> tuple[np.ndarray, np.ndarray]:
     """The number of shared words and of words in either, of each pair of texts."""
     shared, either = np.zeros(len(text_x), dtype=np.int64), np.zeros(len(text_x), dtype=np.int64)
@@ -251,14 +298,9 @@ def similar_texts(
     marks = F.lit(3) if side_col is None else F.bit_or(F.col("side") + 1)
     classes = prints.groupBy("class").agg(F.first("n").alias("n"), F.first("words").alias("words"), marks.alias("marks"), F.min("id").alias("id"), F.first("p1").alias("p1"), F.first("p2").alias("p2"))
     classes = stage(classes, "classes")
-    found, used = _candidates(classes.select("class", "n", "words", "marks"), threshold, crowd)
-    sketch = classes.select("class", "id", "n", "p1", "p2")
-    pairs = (
-        found.join(sketch.alias("x").withColumnRenamed("class", "a"), "a")
-        .join(sketch.alias("y").withColumnRenamed("class", "b"), "b")
-        .where(_reachable(threshold))
-        .select("a", "b", F.col("x.id").alias("id_x"), F.col("y.id").alias("id_y"))
-    )
+    found, used = _candidates(classes.drop("id"), threshold, crowd)
+    names = classes.select("class", "id")
+    pairs = found.join(names.toDF("a", "id_x"), "a").join(names.toDF("b", "id_y"), "b").select("a", "b", "id_x", "id_y")
     pairs = stage(pairs, "reachable")
     release(*used, classes)
     wanted = pairs.select(F.col("id_x").alias("id")).union(pairs.select("id_y")).distinct()
