@@ -114,3 +114,64 @@ def relevant_lines(question_: Column, context: Column, k: int = 4) -> Column:
     best = F.slice(F.array_sort(F.filter(scored, lambda s: s["n"] < 0)), 1, k)
     ordered = F.transform(F.array_sort(F.transform(best, lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x")))), lambda s: s["x"])
     return F.when(F.size(ordered) > 0, ordered).otherwise(F.slice(lines, 1, 3))
+
+
+def first_response(df, names: tuple[str, ...] = ("response", "answer", "generated_answer")) -> Column:
+    """The first of the named columns that a table has and that isn't blank, else any string column with response in its name; null without one."""
+    strings = [c for c, t in df.dtypes if t == "string"]
+    chosen = [c for n in names for c in strings if c.lower() == n] or sorted(c for c in strings if "response" in c.lower())
+    return F.coalesce(*[F.when(~tx.blank(c), F.col(c)) for c in chosen], F.lit(None).cast("string"))
+
+
+def judge_verdict(answer: Column | str) -> Column:
+    """struct(winner, confidence, parsed) of a judge's JSON answer, fenced or not; without one Tie and 0.5."""
+    block = json_block(answer)
+    winner = F.initcap(F.trim(F.get_json_object(block, "$.winner")))
+    ok = F.coalesce(winner.isin("A", "B", "Tie"), F.lit(False))
+    value = F.get_json_object(block, "$.confidence").try_cast("double")
+    return F.struct(F.when(ok, winner).otherwise("Tie").alias("winner"), F.when(ok & value.between(0, 1), value).otherwise(0.5).alias("confidence"), ok.alias("parsed"))
+
+
+def provider_text(answer: Column | str) -> Column:
+    """The text of a model provider's JSON answer, in any of the shapes these have; the answer itself if it is no JSON."""
+    t = _t(answer)
+    shapes = ("$.choices[0].message.content", "$.choices[0].text", "$.content[0].text", "$.candidates[0].content.parts[0].text", "$.output_text", "$.response", "$.text", "$.content")
+    return F.coalesce(*[F.get_json_object(t, s) for s in shapes], F.when(~F.rlike(t, F.lit(r"^\s*[{\[]")), t))
+
+
+def filtered_contexts(contexts, verdicts: Column, simple: Column):
+    """Contexts with the verdicts of a filtering model applied: qid, context_id, score, text, code, best first by place.
+
+    contexts: qid, context_id, score, text, code, and verdicts, a JSON array of context_id, relevance (0 to 1), text and keep_code. A
+    judged context's score is weighted by 0.2 + 0.8 * relevance; for simple questions it is then raised by a fifth, to 1 at most.
+    A text in the verdict replaces that of the context; contexts that aren't judged stay as they are.
+    """
+    from pyspark.sql import Window
+
+    kind = "array<struct<context_id:string,relevance:double,text:string,keep_code:boolean>>"
+    said = contexts.withColumn("said", F.filter(F.coalesce(F.from_json(verdicts, kind), F.array().cast(kind)), lambda v: v["context_id"] == F.col("context_id").cast("string"))).withColumn("v", F.try_element_at("said", F.lit(1)))
+    weighted = F.when(F.col("v").isNull(), F.col("score")).otherwise(F.col("score") * (0.2 + 0.8 * F.coalesce("v.relevance", F.lit(0.0))))
+    score = F.round(F.when(simple, F.least(F.lit(1.0), weighted * 1.2)).otherwise(weighted), 6)
+    out = said.select("qid", "context_id", score.alias("score"), F.coalesce(F.nullif(F.trim("v.text"), F.lit("")), F.col("text")).alias("text"), F.when(F.coalesce("v.keep_code", F.lit(True)), F.col("code")).alias("code"))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "context_id")))
+
+
+def bounded_contexts(text: Column, code: Column, title: Column) -> Column:
+    """One context of an answer's prompt, with its text and code cleaned, between lines of signs."""
+    return F.concat(F.lit("=" * 50 + "\n"), F.coalesce(title, F.lit("")), F.lit("\n"), tx.clean_context(text), F.lit("\n"), tx.clean_code(code))
+
+
+def without_repeats(text: Column | str, title: Column | str) -> Column:
+    """A document without a first line that repeats itself or its title, and without more than one empty line in a row."""
+    t = F.trim(_t(text))
+    lines = F.split(t, "\n")
+    first = F.trim(F.get(lines, F.lit(0)))
+    again = (F.size(lines) > 1) & (first == F.trim(F.get(lines, F.lit(1))))
+    same = F.lower(F.regexp_replace(first, r"^#+\s*", "")) == F.lower(F.trim(_t(title)))
+    rest = F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), "\n")
+    return F.trim(F.regexp_replace(F.when(again | (same & (F.size(lines) > 1)), rest).otherwise(t), r"\n\s*\n\s*\n+", "\n\n"))
+
+
+def method_sections(text: Column | str) -> Column:
+    """Sections of a text about methods of interfaces: from a header line with a ~ in it to the next header, in order."""
+    return F.transform(F.regexp_extract_all(_t(text), F.lit(r"(?ms)(^#{2,6}[ \t][^\n]*~[^\n]*(?:\n(?!#{1,6}[ \t])[^\n]*)*)"), F.lit(1)), lambda x: F.trim(x))

@@ -126,3 +126,17 @@ def rouge_sets(reference: Column, candidate: Column, n: int) -> Column:
     r, c = F.array_distinct(ngrams(reference, n)), F.array_distinct(ngrams(candidate, n))
     both = F.size(F.array_intersect(r, c))
     return f1(ratio(both, F.size(c)), ratio(both, F.size(r)))
+
+
+def trigram_ratio(a: Column, b: Column) -> Column:
+    """Twice the shared distinct character trigrams over those of both texts, in lower case; 1 if both have none, else 0 if one has."""
+    grams = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3))))
+    x, y = (grams(F.lower(F.coalesce(c, F.lit("")))) for c in (a, b))
+    return 2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y))
+
+
+def coverage_only(reference: Column, candidate: Column, most: int = 12) -> Column:
+    """struct(coverage, precision) of the first keywords of two arrays: coverage 1 for an empty reference, precision 0 for an empty candidate."""
+    r, c = F.slice(F.array_sort(F.array_distinct(reference)), 1, most), F.array_distinct(candidate)
+    both = F.size(F.array_intersect(r, c))
+    return F.struct(ratio(both, F.size(r), 1.0).alias("coverage"), ratio(both, F.size(c)).alias("precision"))

@@ -45,6 +45,27 @@ def factual_accuracy(f: Column, c: Column) -> Column:
     return F.struct(F.round(recall, 4).alias("method_recall"), F.round(invented, 4).alias("hallucination_rate"), F.round(constructs, 4).alias("construct_recall"), F.round((recall + constructs) / 2, 4).alias("accuracy"))
 
 
+def construct_validity(doc: Column | str, keywords: Column) -> Column:
+    """Share of the words of documentation (two plain letters or more, in any case) that are keywords, in upper case; 0 without such words."""
+    words = F.filter(tx.words(doc), lambda w: F.rlike(w, F.lit("^[a-z_]{2,}$")))
+    return F.round(tx.ratio(F.size(F.filter(words, lambda w: F.array_contains(keywords, F.upper(w)))), F.size(words)), 4)
+
+
+def section_map(df: DataFrame, key: str, doc: str) -> DataFrame:
+    """key, section, body: the sections of documentation by their lower-case header; of equal headers the last one counts. Empty bodies stay."""
+    cut = F.filter(F.split(_text(doc), r"(?m)(?=^#{1,6}[ \t])"), lambda x: F.rlike(x, F.lit(r"^#{1,6}[ \t]")))
+    parts = df.select(key, F.posexplode(cut).alias("pos", "part"))
+    header = F.lower(F.trim(F.regexp_extract("part", r"^#{1,6}[ \t]+([^\n]*)", 1)))
+    body = F.trim(F.regexp_replace("part", r"^#{1,6}[^\n]*\n?", ""))
+    return parts.groupBy(key, header.alias("section")).agg(F.max_by(body, "pos").alias("body"))
+
+
+def sample_metrics(df: DataFrame, key: str, metrics: dict[str, Column], enhanced: list[str]) -> DataFrame:
+    """key, metric, value: the metrics of each sample in long form, those in enhanced also under the name enhanced_..."""
+    named = {**metrics, **{f"enhanced_{m}": metrics[m] for m in enhanced}}
+    return df.select(key, *[c.cast("double").alias(n) for n, c in named.items()]).unpivot([key], list(named), "metric", "value")
+
+
 def header_levels(doc: Column | str) -> Column:
     return F.transform(F.regexp_extract_all(_text(doc), F.lit(r"(?m)^(#{1,6})[ \t]"), F.lit(1)), F.length)
 

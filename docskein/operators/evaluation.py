@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docskein.functions import text as tx
+from docskein.session import stage
 
 
 def latest(df: DataFrame, key: str, time: str) -> DataFrame:
@@ -48,6 +49,45 @@ def statistics(df: DataFrame, by: list[str], value: str) -> DataFrame:
     )
 
 
+def row_results(cells: DataFrame, key: list[str], falling: tuple[str, ...] = ("hallucination",)) -> DataFrame:
+    """keys, valid, mean, passed: for each row of metric cells the valid ones, their mean, and how many pass their threshold.
+
+    cells: keys, metric, score, threshold. A cell passes with a score of at least its threshold; those of falling metrics with
+    at most that. Cells without a score are dropped; rows without any have valid 0 and a null mean.
+    """
+    low = F.exists(F.array(*map(F.lit, falling)), lambda m: F.contains(F.lower("metric"), m))
+    ok = F.when(low, F.col("score") <= F.col("threshold")).otherwise(F.col("score") >= F.col("threshold"))
+    return cells.groupBy(*key).agg(F.count("score").alias("valid"), F.round(F.avg("score") + 1e-9, 4).alias("mean"), F.count(F.when(ok, 1)).alias("passed"))
+
+
+def focus_report(cells: DataFrame, focus: str, target: float) -> DataFrame:
+    """One row: mean of all cells, mean of the focus metric, its distance to a target and whether that is met."""
+    one = cells.agg(F.round(F.avg("score") + 1e-9, 4).alias("overall"), F.round(F.avg(F.when(F.col("metric") == focus, F.col("score"))) + 1e-9, 4).alias("focus"))
+    return one.select("overall", "focus", F.round(F.col("focus") - target, 4).alias("above"), (F.col("focus") >= target).alias("met"))
+
+
+def rubric_summary(cells: DataFrame) -> DataFrame:
+    """metric, n, mean, std, least, greatest, yes_rate. cells: metric, score, verdict; verdicts that aren't yes or no don't count in the rate."""
+    verdict = F.lower(F.trim("verdict"))
+    yes, known = F.count(F.when(verdict == "yes", 1)), F.count(F.when(verdict.isin("yes", "no"), 1))
+    return cells.groupBy("metric").agg(
+        F.count("score").alias("n"), F.round(F.avg("score") + 1e-9, 4).alias("mean"), F.round(F.stddev_pop("score"), 4).alias("std"), F.min("score").alias("least"), F.max("score").alias("greatest"),
+        F.round(F.when(known > 0, yes / known) + 1e-9, 4).alias("yes_rate"),
+    )
+
+
+def best_models(means: DataFrame, metrics: list[str]) -> DataFrame:
+    """metric, model, value: the best model of each metric; of equal ones the first by name. means: model and a column for each metric."""
+    long = means.unpivot(["model"], metrics, "metric", "value")
+    return long.groupBy("metric").agg(F.min_by("model", F.struct((-F.col("value")).alias("v"), "model")).alias("model"), F.max("value").alias("value"))
+
+
+def field_inventory(fields: DataFrame) -> DataFrame:
+    """field, in_first, in_second, where: which fields two sides have. fields: side (first or second), field."""
+    each = fields.groupBy("field").agg(F.count(F.when(F.col("side") == "first", 1)).alias("in_first"), F.count(F.when(F.col("side") == "second", 1)).alias("in_second"))
+    return each.withColumn("where", F.when((F.col("in_first") > 0) & (F.col("in_second") > 0), "common").when(F.col("in_first") > 0, "first only").otherwise("second only"))
+
+
 def component_statistics(cells: DataFrame) -> DataFrame:
     """Mean and count of scores by component and metric, and by question type too, in one pass with grouping sets."""
     return cells.groupingSets([["component", "metric"], ["question_type", "component", "metric"]], "question_type", "component", "metric").agg(
@@ -132,6 +172,16 @@ def upsert(existing: DataFrame, new: DataFrame, key: str, time: str) -> DataFram
     return latest(existing.unionByName(new), key, time)
 
 
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """Rows numbered from 1 in the order of a unique column: places within ranges, and one running sum over the ranges."""
+    ranged = df.repartitionByRange(order).withColumn("range_", F.spark_partition_id())
+    ranged = stage(ranged, "ranged")  # ranges are drawn once, so that both reads see the same
+    sizes = ranged.groupBy("range_").agg(F.count("*").alias("n_"))
+    before = sizes.select("range_", F.coalesce(F.sum("n_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
+    place = F.row_number().over(Window.partitionBy("range_").orderBy(order))
+    return ranged.withColumn("place_", place).join(F.broadcast(before), "range_").withColumn(name, F.col("before_") + F.col("place_")).drop("range_", "place_", "before_")
+
+
 def missing_keys(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What is left to do after an interruption."""
     return wanted.join(done.select(key), key, "left_anti")

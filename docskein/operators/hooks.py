@@ -1,8 +1,7 @@
-"""Places for models: scorers, encoders and similarity in Arrow batches, with defaults that need no model."""
+"""Places for models: scorers, encoders and judges in Arrow batches, with defaults that need no model."""
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Callable
 
 import pandas as pd
@@ -31,6 +30,26 @@ def encoder(encode: Callable[[list[str]], list[list[float]]], prefix: str = ""):
     return run
 
 
+def judge(ask: Callable[[list[str]], list[str]]):
+    """A column function prompt -> answer from a function on batches, such as calls of a judging model."""
+
+    @F.pandas_udf(T.StringType())
+    def run(prompt: pd.Series) -> pd.Series:
+        return pd.Series(ask(prompt.fillna("").tolist()), dtype="object")
+
+    return run
+
+
+def splitter(points: Callable[[list[str]], list[list[int]]]):
+    """A column function text -> split points from a function on batches; see chunking.split_at for their use."""
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def run(text: pd.Series) -> pd.Series:
+        return pd.Series(points(text.fillna("").tolist()))
+
+    return run
+
+
 def pair_text(title: Column, content: Column, code: Column) -> Column:
     """What a reranker reads of a hit."""
     return F.concat_ws("\n", F.concat(F.lit("Title: "), F.coalesce(title, F.lit(""))), F.concat(F.lit("Content: "), F.substring(F.coalesce(content, F.lit("")), 1, 2000)), F.concat(F.lit("Code: "), F.substring(F.coalesce(code, F.lit("")), 1, 1500)))
@@ -58,9 +77,3 @@ def rouge_l(reference: pd.Series, candidate: pd.Series) -> pd.Series:
         return 2 * p * r / (p + r) if p + r else 0.0
 
     return pd.Series([one(a, b) for a, b in zip(reference, candidate)], dtype="float64")
-
-
-@F.pandas_udf(T.DoubleType())
-def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio of two texts."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b)], dtype="float64")

@@ -82,14 +82,14 @@ def sub_questions(question: Column | str) -> Column:
     """The parts of a question: between question marks, and the two sides of ", and "."""
     q = F.coalesce(F.col(question) if isinstance(question, str) else question, F.lit(""))
     marked = F.regexp_replace(F.regexp_replace(q, r"\?\s*", "?\u0001"), r", and (?=what|how|why|when|where|which|who)", "\u0001")
-    return F.filter(F.transform(F.split(marked, "\u0001"), F.trim), lambda x: F.length(x) > 0)
+    return F.filter(F.transform(F.split(marked, "\u0001"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
 
 
 def numbered_list(text: Column | str) -> Column:
     """The items of a numbered list, else the lines that aren't blank."""
     t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     items = F.regexp_extract_all(t, F.lit(r"(?m)^\s*\d+\.\s*(.+)$"), F.lit(1))
-    lines = F.filter(F.transform(F.split(t, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(items) > 0, items).otherwise(lines)
 
 

@@ -9,6 +9,7 @@ from docskein.operators import evaluation as ev
 from docskein.operators import judging as jd
 from docskein.plans.registry import query, table
 
+LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC) AS rn_ FROM combined_all_chunks) WHERE rn_ = 1"
 #: Evaluation rows once each, the latest delivery.
 ROWS = "e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY evaluation_id ORDER BY loaded_at DESC) AS rn_ FROM evaluation_result) WHERE rn_ = 1)"
 JUDGED = f"""{ROWS}, j AS (SELECT evaluation_id, question_id, lower(trim(judge_model)) AS judge, coalesce(question_type, 'unknown') AS question_type, actual_winner AS winner, confidence, scores_a, scores_b FROM e WHERE actual_winner IS NOT NULL)"""
@@ -97,13 +98,13 @@ ANSWERED = f"""{ROWS}, a AS (SELECT trim(question) AS key, loaded_at AS at_, ope
 
 
 @query(
-    f"""WITH {ANSWERED}, g AS (SELECT question_id, min(trim(question)) AS question, max(closed_source_response) AS reference_answer, max(question_type) AS question_type FROM e WHERE question_id % 2 = 0 GROUP BY 1)
+    f"""WITH {ANSWERED}, g AS (SELECT question_id, min(trim(question)) AS question, max(closed_source_response) AS reference_answer, max(question_type) AS question_type FROM e GROUP BY 1)
  SELECT question_id AS item_id, g.question, reference_answer, upper(question_type[1]) || lower(question_type[2:]) AS question_type, answer, coalesce(n, 0) AS n_chunks FROM g LEFT JOIN l ON trim(g.question) = key"""
 )
 def j_merge_answers(spark, folder):
-    """Items of every other question take the latest open answer to the same trimmed question."""
+    """Items take the latest open answer to the same trimmed question."""
     e = rows(spark, folder)
-    items = e.where("question_id % 2 = 0").groupBy(F.col("question_id").alias("item_id")).agg(F.min(F.trim("question")).alias("question"), F.max("closed_source_response").alias("reference_answer"), F.max("question_type").alias("question_type"))
+    items = e.groupBy(F.col("question_id").alias("item_id")).agg(F.min(F.trim("question")).alias("question"), F.max("closed_source_response").alias("reference_answer"), F.max("question_type").alias("question_type"))
     answers = e.select("question", F.col("open_source_response").alias("answer"), F.col("loaded_at").alias("at"), F.col("switch_round").alias("n_chunks"))
     return ev.merge_answers(items, answers)
 
@@ -124,17 +125,17 @@ def p_validation_report(spark, folder):
 
 @query(
     f"""WITH {ROWS}, o AS (SELECT question_id, max(open_source_response) AS o, max(closed_source_response) AS c FROM e GROUP BY 1)
- SELECT question_id, ({BLANK.format('o')}) AS open_missing, ({BLANK.format('c')}) AS closed_missing FROM o WHERE ({BLANK.format('o')}) OR ({BLANK.format('c')})"""
+ SELECT ({BLANK.format('o')}) AS open_missing, ({BLANK.format('c')}) AS closed_missing, count(*) AS questions, min(question_id) AS first_question FROM o GROUP BY 1, 2"""
 )
 def p_pair_validation(spark, folder):
-    """Questions of which one answer is missing."""
+    """Questions by which of their answers is missing."""
     each = rows(spark, folder).groupBy("question_id").agg(F.max("open_source_response").alias("o"), F.max("closed_source_response").alias("c"))
-    return each.where(tx.blank("o") | tx.blank("c")).select("question_id", tx.blank("o").alias("open_missing"), tx.blank("c").alias("closed_missing"))
+    return each.groupBy(tx.blank("o").alias("open_missing"), tx.blank("c").alias("closed_missing")).agg(F.count("*").alias("questions"), F.min("question_id").alias("first_question"))
 
 
-@query("SELECT question_type, count(confidence) AS n, round(avg(confidence) + 1e-9, 4) AS mean, round(stddev_pop(confidence), 4) AS std, min(confidence) AS least, max(confidence) AS greatest, round(median(confidence) + 1e-9, 4) AS median FROM evaluation_result GROUP BY 1")
+@query(f"WITH {ROWS} SELECT question_type, count(confidence) AS n, round(avg(confidence) + 1e-9, 4) AS mean, round(stddev_pop(confidence), 4) AS std, min(confidence) AS least, max(confidence) AS greatest, round(median(confidence) + 1e-9, 4) AS median FROM e GROUP BY 1")
 def g_statistics(spark, folder):
-    return ev.statistics(table(spark, folder, "evaluation_result"), ["question_type"], "confidence")
+    return ev.statistics(rows(spark, folder), ["question_type"], "confidence")
 
 
 #: Each score of either side as a row; the component that a criterion measures.
@@ -214,11 +215,11 @@ def g_hash_split(spark, folder):
 
 
 @query(
-    """WITH t AS (SELECT trim(split_part(title, ' ', 1)) AS topic FROM combined_all_chunks WHERE title IS NOT NULL) SELECT topic, count(*) AS n FROM t WHERE topic <> '' GROUP BY 1 ORDER BY n DESC, topic LIMIT 10"""
+    f"""WITH c AS ({LATEST}), t AS (SELECT trim(split_part(title, ' ', 1)) AS topic FROM c WHERE title IS NOT NULL) SELECT topic, count(*) AS n FROM t WHERE topic <> '' GROUP BY 1 ORDER BY n DESC, topic LIMIT 10"""
 )
 def g_top_topics(spark, folder):
     """The ten most frequent first words of titles."""
-    t = table(spark, folder, "combined_all_chunks").where("title IS NOT NULL").select(F.trim(F.split_part("title", F.lit(" "), F.lit(1))).alias("topic"))
+    t = ev.latest(table(spark, folder, "combined_all_chunks"), "chunk_id", "ingested_at").where("title IS NOT NULL").select(F.trim(F.split_part("title", F.lit(" "), F.lit(1))).alias("topic"))
     return t.where("topic <> ''").groupBy("topic").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "topic").limit(10)
 
 
@@ -238,6 +239,7 @@ def j_anti_join(spark, folder):
 
 @query(f"WITH c AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC) AS rn_ FROM combined_all_chunks) SELECT chunk_id, filename, ingested_at FROM c WHERE rn_ = 1")
 def s_upsert(spark, folder):
-    """Re-ingested chunks replace earlier ones."""
+    """Re-ingested chunks replace earlier ones: rows delivered first make the table, all others are upserted into it."""
     c = table(spark, folder, "combined_all_chunks").select("chunk_id", "filename", "ingested_at")
-    return ev.upsert(c.where("ingested_at < '2024-01-05'"), c.where("ingested_at >= '2024-01-05'"), "chunk_id", "ingested_at")
+    first = c.groupBy("chunk_id").agg(F.min_by(F.struct("filename", "ingested_at"), F.coalesce("ingested_at", F.to_timestamp(F.lit("1970-01-01")))).alias("x")).select("chunk_id", "x.*")
+    return ev.upsert(first, c, "chunk_id", "ingested_at")

@@ -17,11 +17,11 @@ def current(spark, folder):
 @query(
     r"""WITH l AS (SELECT sample_id, unnest(string_split(documentation, chr(10))) AS line, unnest(range(1, len(string_split(documentation, chr(10))) + 1)) AS i FROM dataset WHERE trim(regexp_replace(documentation, '\s+', '', 'g')) <> ''),
  g AS (SELECT *, sum(regexp_matches(line, '^####[ \t]')::INT) OVER (PARTITION BY sample_id ORDER BY i) AS s FROM l), b AS (SELECT sample_id, s, string_agg(line, chr(10) ORDER BY i) AS body FROM g GROUP BY 1, 2)
- SELECT sample_id, (row_number() OVER (PARTITION BY sample_id ORDER BY s) - 1)::INT AS seq, trim(regexp_extract(body, '^####[ \t]+([^\n]*)', 1), ' ') AS header, length(regexp_replace(body, '\s+', '', 'g')) AS chars FROM b WHERE regexp_replace(body, '\s+', '', 'g') <> ''"""
+ SELECT sample_id, (row_number() OVER (PARTITION BY sample_id ORDER BY s) - 1)::INT AS seq, trim(regexp_extract(body, '^####[ \t]+([^\n]*)', 1), ' ') AS header, md5(trim(regexp_replace(body, '\s+', ' ', 'g'), ' ')) AS body_md5 FROM b WHERE regexp_replace(body, '\s+', '', 'g') <> ''"""
 )
 def a_sections(spark, folder):
     s = ck.sections(table(spark, folder, "dataset"), "sample_id", "documentation")
-    return s.select("sample_id", "seq", "header", F.length(F.regexp_replace("body", r"\s+", "")).cast("long").alias("chars"))
+    return s.select("sample_id", "seq", "header", F.md5(F.trim(F.regexp_replace("body", r"\s+", " "))).alias("body_md5"))
 
 
 @query()
@@ -61,11 +61,11 @@ def a_router(spark, folder):
 
 @query(
     r"""WITH b AS (SELECT chunk_id, unnest(x) AS body, unnest(range(len(x))) AS pos FROM (SELECT DISTINCT chunk_id, regexp_extract_all(coalesce(code_snippet, ''), '(?is)(\bMETHOD\s+[\w~/]+.*?\bENDMETHOD\b)', 1) AS x FROM combined_all_chunks))
- SELECT chunk_id, lower(regexp_extract(body, '(?i)^METHOD\s+([\w~/]+)', 1)) AS method, arg_max(length(body), pos) AS chars FROM b GROUP BY 1, 2"""
+ SELECT chunk_id, lower(regexp_extract(body, '(?i)^METHOD\s+([\w~/]+)', 1)) AS method, md5(arg_max(body, pos)) AS body_md5 FROM b GROUP BY 1, 2"""
 )
 def a_methods(spark, folder):
     m = ck.methods(current(spark, folder), "chunk_id", "code_snippet")
-    return m.select("chunk_id", "method", F.length("body").cast("long").alias("chars"))
+    return m.select("chunk_id", "method", F.md5("body").alias("body_md5"))
 
 
 @query()

@@ -123,11 +123,10 @@ def j_entity_lookup(spark, folder):
     return n.groupBy("name").agg(F.count("*").alias("mentions"), F.min("doc_id").alias("first_chunk")).where("mentions > 1")
 
 
-@query(f"WITH c AS ({LATEST}) SELECT filename, list_sort(list(DISTINCT title)) AS titles, count(*) AS chunks FROM c WHERE title IS NOT NULL GROUP BY 1")
+@query(f"WITH c AS ({LATEST}) SELECT filename, title, count(*) AS chunks, min(chunk_id) AS first_chunk FROM c WHERE title IS NOT NULL GROUP BY 1, 2")
 def g_grouped_titles(spark, folder):
-    """The distinct titles of each file, in order. Titles of one file are its chunks, which a file bounds."""
-    c = chunk_texts(spark, folder).where("title IS NOT NULL")
-    return c.groupBy("filename").agg(F.sort_array(F.collect_set("title")).alias("titles"), F.count("*").alias("chunks"))
+    """The distinct titles of each file, a row each."""
+    return chunk_texts(spark, folder).where("title IS NOT NULL").groupBy("filename", "title").agg(F.count("*").alias("chunks"), F.min("doc_id").alias("first_chunk"))
 
 
 @query(
@@ -193,12 +192,12 @@ def f_question_cleanup(spark, folder):
 
 
 @query(
-    r"""SELECT sample_id, length(trim(regexp_replace(coalesce(text, ''), '</?s>|\[/?INST\]|<\|[a-z_]+\|>', '', 'g'), ' ')) AS minimal,
- length(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '</?s>|\[/?INST\]|<\|[a-z_]+\|>', '', 'g'), '\n[ \t]*\n(?:[ \t]*\n)+', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), ' ')) AS basic FROM dataset"""
+    r"""SELECT sample_id, md5(trim(regexp_replace(coalesce(text, ''), '</?s>|\[/?INST\]|<\|[a-z_]+\|>', '', 'g'), ' ')) AS minimal,
+ md5(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '</?s>|\[/?INST\]|<\|[a-z_]+\|>', '', 'g'), '\n[ \t]*\n(?:[ \t]*\n)+', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), ' ')) AS basic FROM dataset"""
 )
 def f_response_clean(spark, folder):
     d = table(spark, folder, "dataset")
-    return d.select("sample_id", F.length(cl.response("text", "minimal")).cast("long").alias("minimal"), F.length(cl.response("text")).cast("long").alias("basic"))
+    return d.select("sample_id", F.md5(cl.response("text", "minimal")).alias("minimal"), F.md5(cl.response("text")).alias("basic"))
 
 
 @query(

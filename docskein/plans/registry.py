@@ -28,7 +28,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def load() -> None:
-    from docskein.plans import answers, chunks, more, retrieval, texts, usage  # noqa: F401
+    from docskein.plans import answers, chunks, more, reports, retrieval, texts, usage  # noqa: F401
 
 
 load()

@@ -85,12 +85,13 @@ def q_unsupported(spark, folder):
 
 
 @query(
-    r"""WITH e AS (SELECT question_id, max(open_source_response) AS a FROM evaluation_result GROUP BY 1)
- SELECT question_id, trim(x, ' ') AS item FROM (SELECT question_id, unnest(regexp_extract_all(a, '(?m)^\s*\d+\.\s*(.+)$', 1)) AS x FROM e)"""
+    r"""WITH e AS (SELECT question_id, coalesce(max(open_source_response), '') AS a FROM evaluation_result GROUP BY 1),
+ m AS (SELECT question_id, regexp_extract_all(a, '(?m)^\s*\d+\.\s*(.+)$', 1) AS items, list_filter(list_transform(string_split(a, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines FROM e)
+ SELECT question_id, trim(x, ' ') AS item FROM (SELECT question_id, unnest(CASE WHEN len(items) > 0 THEN items ELSE lines END) AS x FROM m)"""
 )
 def f_numbered_items(spark, folder):
-    """Items of the numbered lists in open answers (answers without one are left out)."""
-    e = table(spark, folder, "evaluation_result").groupBy("question_id").agg(F.max("open_source_response").alias("a")).where(F.rlike("a", F.lit(r"(?m)^\s*\d+\.\s*.+$")))
+    """Items of the numbered lists in open answers, the lines of answers without one."""
+    e = table(spark, folder, "evaluation_result").groupBy("question_id").agg(F.max("open_source_response").alias("a"))
     return e.select("question_id", F.explode(un.numbered_list("a")).alias("item")).select("question_id", F.trim("item").alias("item"))
 
 
@@ -136,12 +137,18 @@ def f_rouge_l(spark, folder):
     return answer_pairs(spark, folder).select("question_id", F.round(hooks.rouge_l("r", "c"), 6).alias("rouge_l"))
 
 
-@query()
+def _trigram_sql(c: str) -> str:
+    return f"list_distinct(list_transform(range(1, greatest(length({c}) - 2, 1) + 1), lambda i: substr({c}, i, 3)))"
+
+
+@query(
+    f"""WITH e AS (SELECT question_id, lower(coalesce(max(question), '')) AS q, lower(coalesce(max(closed_source_response), '')) AS c FROM evaluation_result GROUP BY 1),
+ g AS (SELECT question_id, {_trigram_sql('q')} AS x, {_trigram_sql('c')} AS y FROM e) SELECT question_id, round(2.0::DOUBLE * len(list_intersect(x, y)) / (len(x) + len(y)), 6) AS ratio FROM g"""
+)
 def f_similarity_ratio(spark, folder):
-    """Ratcliff-Obershelp ratio of each question and its open answer, in Arrow batches."""
-    e = table(spark, folder, "evaluation_result").groupBy("question_id").agg(F.max(F.trim("question")).alias("q"), F.max("open_source_response").alias("c"))
-    r = e.select("question_id", F.round(hooks.similarity_ratio("q", "c"), 6).alias("ratio"))
-    return r.withColumn("too_similar", F.col("ratio") > 0.7)
+    """How much of its characters' trigrams a question shares with its answer."""
+    e = table(spark, folder, "evaluation_result").groupBy("question_id").agg(F.max("question").alias("q"), F.max("closed_source_response").alias("c"))
+    return e.select("question_id", F.round(tx.trigram_ratio(F.col("q"), F.col("c")), 6).alias("ratio"))
 
 
 @query(

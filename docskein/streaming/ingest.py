@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -49,7 +47,7 @@ def run_to_memory(df: DataFrame, name: str, mode: str = "append") -> StreamingQu
 
 
 def parquet_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of Parquet files as a stream, with the schema of what is there."""
-    folder = path if os.path.isdir(path) or "://" in path else os.path.dirname(path)
-    glob = "*.parquet" if folder == path else os.path.basename(path)
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", glob).parquet(folder)
+    """A folder of Parquet files as a stream, with the schema of what is there; path may also name one file, by its suffix."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    one = name.endswith(".parquet")
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", name if one else "*.parquet").parquet(folder if one else path)

@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from docskein.functions import cleaning as cl
 from docskein.functions import text as tx
 from docskein.operators import chunking as ck
 from docskein.operators import docquality as dq
@@ -13,6 +14,7 @@ from docskein.operators import evaluation as ev
 from docskein.operators import hooks
 from docskein.operators import irmetrics as ir
 from docskein.operators import judging as jd
+from docskein.operators import ngrams as ng
 from docskein.operators import retrieval as rt
 from docskein.operators import understanding as un
 from docskein.sources import readers
@@ -205,3 +207,139 @@ def test_streams(spark, tmp_path):
     assert sorted(r.events for r in batch) == [1, 2]
     q = ingest.run_to_memory(ingest.call_load(ingest.parquet_stream(spark, str(tmp_path / "ev")), "ts", "who", "v"), "load_", "update")
     assert q.exception() is None and spark.table("load_").agg(F.sum("calls")).first()[0] == 3
+
+
+def chunk_rows(n, seed):
+    import random
+
+    rng = random.Random(seed)
+    return [(f"f{int(rng.random() < 0.2)}", i, f"k{i:05}", rng.choice(("", "## h", "x" * 50, "a\nb\nc", "long " * 30 + "\n1\n2", None)), rng.choice((None, "", "code")), rng.choice(("t (part 1)", "t (part 2)", "u"))) for i in range(n)]
+
+
+@pytest.mark.parametrize("width", [3, 7, 1000])
+def test_a_hot_file_in_blocks_is_as_a_whole(spark, width):
+    rows = chunk_rows(120, 4)
+    df = spark.createDataFrame(rows, "f string, s int, k string, d string, c string, t string")
+    order = {}
+    for f, s, k, *_ in rows:
+        order.setdefault(f, []).append(k)
+    want = {k: (o[i - 1] if i else None, o[i + 1] if i + 1 < len(o) else None) for o in order.values() for i, k in enumerate(o)}
+    assert {r.k: (r.previous_id, r.next_id) for r in ck.linked(df, "f", "s", "k", width).collect()} == want
+    # the fold over whole files
+    small = lambda d: len(d) < 100 or d.count("\n") <= 1
+    merged = {}
+    for f, s, _, d, c, _ in rows:
+        d, out = d or "", merged.setdefault(f, [])
+        if out and small(out[-1][1]) and len(out[-1][1]) + len(d) + 2 <= 2000:
+            out[-1] = (out[-1][0], f"{out[-1][1]}\n\n{d}", out[-1][2] if (out[-1][2] or "").strip() else c)
+        else:
+            out.append((s, d, c))
+    got = {(r.f, r.seq): (r.doc, r.code) for r in ck.merge_small(df, "f", "s", "d", "c", 100, 2000, width).collect()}
+    assert got == {(f, s): (d, c) for f, out in merged.items() for s, d, c in out}
+    # the overlap
+    carried, last = {}, {}
+    for f, s, k, d, _, t in rows:
+        base = t.split("(")[0].strip()
+        before = last.get(f)
+        tail = before[0] if before and before[1] == base else None
+        carried[k] = f"{tail}\n\n{d}" if tail is not None and d is not None and not (d.startswith("##") or d[:1].isascii() and d[:1].isalpha()) else d
+        own = (d.split("\n\n")[-1] if d is not None else None)
+        last[f] = (own if own is not None and len(own) < 200 else None, base)
+    assert {r.k: r.d for r in ck.overlapping(df, "f", "s", "d", "t", width).collect()} == carried
+    assert ck.merge_small(df.limit(0), "f", "s", "d", "c").count() == 0 and ck.linked(df.limit(0), "f", "s", "k").count() == 0
+
+
+def brute_headers(text, longest):
+    import re
+
+    out, cur, two = [], "", False
+    for part in [p for p in re.split(r"(?m)(?=^##(?:##)?[ \t])", text) if p.strip(" ")]:
+        level2, level4 = bool(re.match(r"##[ \t]", part)), bool(re.match(r"####[ \t]", part))
+        if cur and (level2 or level4 and (not two or len(cur) + len(part) > longest)):
+            out.append(cur)
+            cur = ""
+        cur, two = cur + part, two or level2
+    return out + [cur] if cur else out
+
+
+def test_header_packing(spark):
+    text = "intro\n#### A\nx\n## Two\ny\n#### B\nz\n#### C\n" + "w" * 60 + "\n## End\nq"
+    df = spark.createDataFrame([(1, text), (2, None), (3, " "), (4, "plain")], "k int, t string")
+    got = {}
+    for r in ck.header_packed(df, "k", "t", 50, 0).orderBy("k", "seq").collect():
+        got.setdefault(r.k, []).append(r.body)
+    assert got == {1: [x.strip(" ") for x in brute_headers(text, 50)], 4: ["plain"]}  # a paragraph longer than a chunk stays whole
+    assert "".join(got[1]).replace("\n", "") == text.replace("\n", "")
+    assert {r.k: r.doc for r in ck.overview_chunk(spark.createDataFrame([(1, "## Overview\na\n## Class Definition\nb\n## Rest\nc"), (2, None)], "k int, t string"), "k", "t").collect()} == {1: "a\n\nb"}
+    assert one(spark, ck.paragraphs("t", 2), t="a\n b\n\nc\n\nd") == ["a b", "c"]
+
+
+def test_clipped_scores(spark):
+    import math
+
+    df = spark.createDataFrame([(1, "the cat is on the mat", "the the the cat"), (2, None, "x"), (3, "a b c d e", "a b c d e"), (4, "a", "")], "k int, r string, c string")
+    got = {r.k: r for r in ng.clipped_scores(df, "k", "r", "c").collect()}
+    assert got[1].bleu_1 == pytest.approx(3 / 4 * math.exp(1 - 6 / 4), abs=1e-6) and got[1].rouge_1 == pytest.approx(2 * 3 / 10)
+    assert got[3].bleu_4 == 1 and got[3].rouge_2 == 1
+    assert tuple(got[2])[1:] == tuple(got[4])[1:] == (0.0,) * 5
+    assert ng.clipped_scores(df.limit(0), "k", "r", "c").count() == 0
+
+
+def test_accepted_in_order(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.sample("abcdefghijkl", 5))) for i in range(80)] + [(100, None), (101, ""), (102, "a b c d e"), (103, "e d c b a")]
+    sets = {i: set((t or "").split()) for i, t in rows}
+    near = lambda x, y: bool(sets[x] and sets[y]) and len(sets[x] & sets[y]) >= 0.5 * len(sets[x] | sets[y]) - 1e-9
+    taken = []
+    for i, _ in rows:
+        if not any(near(i, j) for j in taken):
+            taken.append(i)
+    df = spark.createDataFrame(rows, "k int, t string")
+    assert {r.k for r in ng.accepted_in_order(df, "k", "t", 0.5).where("accepted").collect()} == set(taken)
+    assert {(r.a, r.b) for r in ng.similar_word_sets(df, "k", "t", 0.5).collect()} == {(x, y) for x in sets for y in sets if x < y and near(x, y)}
+
+
+def test_metric_cells(spark):
+    cells = spark.createDataFrame([(1, "faithfulness", 0.8, 0.7), (1, "hallucination", 0.2, 0.3), (1, "recall", None, 0.5), (2, "recall", None, 0.5)], "k int, metric string, score double, threshold double")
+    assert {(r.k, r.valid, r.mean, r.passed) for r in ev.row_results(cells, ["k"]).collect()} == {(1, 2, 0.5, 2), (2, 0, None, 0)}
+    assert tuple(ev.focus_report(cells, "faithfulness", 0.65).first()) == (0.5, 0.8, 0.15, True)
+    said = cells.withColumn("verdict", F.when(F.col("metric") == "faithfulness", " Yes ").otherwise("Unable to determine"))
+    assert {r.metric: r.yes_rate for r in ev.rubric_summary(said).collect()} == {"faithfulness": 1.0, "hallucination": None, "recall": None}
+    means = spark.createDataFrame([("b", 1.0), ("a", 1.0), ("c", 0.5)], "model string, m double")
+    assert [tuple(r) for r in ev.best_models(means, ["m"]).collect()] == [("m", "a", 1.0)]
+
+
+def test_parsed_answers(spark):
+    assert tuple(one(spark, cl.judge_verdict("t"), t='x ```json\n{"winner": "a", "confidence": 0.9}\n```')) == ("A", 0.9, True)
+    assert tuple(one(spark, cl.judge_verdict("t"), t="no json")) == ("Tie", 0.5, False) == tuple(one(spark, cl.judge_verdict("t"), t=None))
+    assert one(spark, cl.provider_text("t"), t='{"choices": [{"message": {"content": "hi"}}]}') == "hi" and one(spark, cl.provider_text("t"), t="plain") == "plain"
+    assert one(spark, cl.provider_text("t"), t="{}") is None
+    assert one(spark, cl.without_repeats("t", F.lit("Title")), t="## Title\nbody\n\n\n\nend") == "body\n\nend"
+    assert one(spark, cl.without_repeats("t", F.lit("x")), t="same\nsame\nbody") == "same\nbody"
+    assert one(spark, cl.method_sections("t"), t="## a~b\nx\n## c\ny\n#### d~e\nz") == ["## a~b\nx", "#### d~e\nz"]
+    assert one(spark, cl.display_code("t"), t="n/a") is None
+    df = spark.createDataFrame([("", "x"), ("y", "z")], "answer string, response string")
+    assert [r[0] for r in df.select(cl.first_response(df)).collect()] == ["x", "z"]
+    rows = spark.createDataFrame([(1, "a", 0.5, "t", "c", '[{"context_id": "a", "relevance": 1.0, "text": " new ", "keep_code": false}]'), (1, "b", 0.7, "u", "c", None), (1, "c", 0.9, "v", "c", "broken")], "qid int, context_id string, score double, text string, code string, v string")
+    got = [(r.context_id, r.score, r.text, r.code) for r in cl.filtered_contexts(rows, F.col("v"), F.lit(True)).orderBy("place").collect()]
+    assert got == [("c", 1.0, "v", "c"), ("b", 0.84, "u", "c"), ("a", 0.6, "new", None)]
+
+
+def test_numbered(spark):
+    df = spark.range(0, 500, 1, 7).select((F.col("id") * 7 % 500).alias("k")).distinct()
+    assert [(r.k, r.position) for r in ev.numbered(df, "k", "position").orderBy("k").collect()] == [(i, i + 1) for i in range(500)]
+
+
+def test_section_map(spark):
+    df = spark.createDataFrame([(1, "pre\n## A\nx\n### B\n\n## a\ny"), (2, None)], "k int, t string")
+    assert {(r.k, r.section): r.body for r in dq.section_map(df, "k", "t").collect()} == {(1, "a"): "y", (1, "b"): "\n"}  # blanks are trimmed, line breaks stay
+
+
+def test_hooks_in_batches(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, None)], "k int, t string")
+    assert [r.s for r in df.select(hooks.scorer(lambda q, t: [float(len(x)) for x in t])("t", "t").alias("s")).collect()] == [2.0, 0.0]
+    assert [r.v for r in df.select(hooks.encoder(lambda ts: [[float(len(x))] for x in ts], "p:")("t").alias("v")).collect()] == [[4.0], [2.0]]
+    assert [r.j for r in df.select(hooks.judge(lambda ps: [p.upper() for p in ps])("t").alias("j")).collect()] == ["AB", ""]
+    assert [r.p for r in df.select(hooks.splitter(lambda ts: [[len(x)] for x in ts])("t").alias("p")).collect()] == [[2], [0]]
