@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docskein.functions import text as tx
 from docskein.operators import chunking as ck
 from docskein.operators import evaluation as ev
 from docskein.plans.registry import query, table
-from docskein.plans.retrieval import LATEST
+from docskein.plans.retrieval import LATEST, WORD
 
 
 def current(spark, folder):
@@ -68,7 +69,15 @@ def a_methods(spark, folder):
     return m.select("chunk_id", "method", F.md5("body").alias("body_md5"))
 
 
-@query()
+@query(
+    r"""WITH l AS (SELECT sample_id, unnest(string_split(documentation, chr(10))) AS line, unnest(range(1, len(string_split(documentation, chr(10))) + 1)) AS i FROM dataset WHERE trim(regexp_replace(documentation, '\s+', '', 'g')) <> ''),
+ g AS (SELECT *, sum(regexp_matches(line, '^####[ \t]')::INT) OVER (PARTITION BY sample_id ORDER BY i) AS s FROM l), b AS (SELECT sample_id, s, string_agg(line, chr(10) ORDER BY i) AS body FROM g GROUP BY 1, 2),
+ h AS (SELECT sample_id, (row_number() OVER (PARTITION BY sample_id ORDER BY s) - 1)::INT AS seq, trim(regexp_extract(body, '^####[ \t]+([^\n]*)', 1), ' ') AS header FROM b WHERE regexp_replace(body, '\s+', '', 'g') <> ''),
+ c AS (SELECT sample_id, unnest(regexp_extract_all(coalesce(code, ''), '(?is)(\bMETHOD\s+[\w~/]+.*?\bENDMETHOD\b)', 1)) AS body FROM dataset), m AS (SELECT DISTINCT sample_id, lower(regexp_extract(body, '(?i)^METHOD\s+([\w~/]+)', 1)) AS method FROM c),
+ p AS (SELECT sample_id, seq, header, lower(trim(header, ' ')) AS h, method, regexp_replace(method, '[_~-]', '', 'g') AS bm, regexp_replace(lower(trim(header, ' ')), '[_~-]', '', 'g') AS bh FROM h JOIN m USING (sample_id) WHERE regexp_replace(header, '\s+', '', 'g') <> ''),
+ r AS (SELECT *, CASE WHEN h = method THEN 1 WHEN bh = bm THEN 2 WHEN ends_with(method, h) THEN 3 WHEN length(h) >= 5 AND length(method) >= 5 AND (contains(method, h) OR contains(h, method)) THEN 4 END::INT AS rule FROM p)
+ SELECT sample_id, seq, header, method, rule FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, seq ORDER BY rule, method) AS place FROM r WHERE rule IS NOT NULL) WHERE place = 1"""
+)
 def a_match_methods(spark, folder):
     """Headers of documentation with the methods of their code, by the first rule that fits."""
     d = table(spark, folder, "dataset")
@@ -80,20 +89,31 @@ def a_code_coverage(spark, folder):
     return ck.code_coverage(current(spark, folder), "code_snippet")
 
 
-@query()
+@query(
+    rf"""WITH c AS ({LATEST}), s AS (SELECT chunk_id, filename, doc, regexp_extract(chunk_id, '_c(\d+)$', 1)::INT AS seq, trim(split_part(title, '(', 1), ' ') AS base, regexp_split_to_array(doc, '\n\s*\n')[-1] AS tail FROM c),
+ o AS (SELECT *, lag(CASE WHEN length(tail) < 200 THEN tail END) OVER w AS before, lag(base) OVER w AS last_base FROM s WINDOW w AS (PARTITION BY filename ORDER BY seq))
+ SELECT chunk_id, CASE WHEN before IS NOT NULL AND last_base = base AND NOT regexp_matches(doc, '^(##|[A-Za-z])') THEN before || chr(10) || chr(10) || doc ELSE doc END AS doc FROM o"""
+)
 def a_overlapping(spark, folder):
     """Parts of a section that continue it begin with its last short paragraph."""
     c = current(spark, folder).withColumn("seq", F.regexp_extract("chunk_id", r"_c(\d+)$", 1).cast("int"))
     return ck.overlapping(c, "filename", "seq", "doc", "title").select("chunk_id", "doc")
 
 
-@query()
+@query(
+    rf"""WITH g AS (SELECT item_id, string_split(regexp_replace(coalesce(reference_context, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts,
+ list_concat(list_filter(list_distinct(coalesce(regexp_extract_all(lower(question), '{WORD}'), [])), lambda x: length(x) > 3), {list(tx.OVERVIEW_WORDS)}) AS words FROM golden_dataset)
+ SELECT item_id, list_aggregate(list_filter(parts, lambda s, i: i = 1 OR (length(s) >= 15 AND len(list_filter(words, lambda w: contains(lower(s), w))) > 0)), 'string_agg', ' ') AS kept FROM g"""
+)
 def a_sentences_about(spark, folder):
-    """The sentences of each golden context that concern its question (look-behind, which the SQL side lacks)."""
+    """The sentences of each golden context that concern its question."""
     return table(spark, folder, "golden_dataset").select("item_id", ck.sentences_about(F.col("question"), F.col("reference_context")).alias("kept"))
 
 
-@query()
+@query(
+    """WITH p AS (SELECT doc_id, i, trim(substr(text, i * 500 + 1, 500), ' ') AS piece FROM (SELECT doc_id, text, unnest(range(0, ceil(length(text) / 500.0)::BIGINT)) AS i FROM documents WHERE length(text) > 0))
+ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS part, piece FROM p WHERE piece <> ''"""
+)
 def a_split_points(spark, folder):
     """Documents cut at given points (here every 500 characters, as a model might say)."""
     d = table(spark, folder, "documents").where("length(text) > 0")
