@@ -293,11 +293,12 @@ def similar_texts(
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), side.cast("int").alias("side"))
     counts, _ = bucket_counts(rows, "text")
     prints = stage(fingerprint_table(rows, "id", "text", "side", counts, min_words, threshold), "fingerprints")
-    members = prints.groupBy("id", "class").agg(F.min("side").alias("side"), F.min("n").alias("n"))
+    members = stage(prints.groupBy("id", "class").agg(F.min("side").alias("side"), F.min("n").alias("n")), "members")
     # One row of each class carries its words: copies are reduced on the map side, and the classes are shuffled once for all levels.
     marks = F.lit(3) if side_col is None else F.bit_or(F.col("side") + 1)
     classes = prints.groupBy("class").agg(F.first("n").alias("n"), F.first("words").alias("words"), marks.alias("marks"), F.min("id").alias("id"), F.first("p1").alias("p1"), F.first("p2").alias("p2"))
     classes = stage(classes, "classes")
+    release(prints)
     found, used = _candidates(classes.drop("id"), threshold, crowd)
     names = classes.select("class", "id")
     pairs = found.join(names.toDF("a", "id_x"), "a").join(names.toDF("b", "id_y"), "b").select("a", "b", "id_x", "id_y")
