@@ -70,9 +70,9 @@ def header_levels(doc: Column | str) -> Column:
     return F.transform(F.regexp_extract_all(_text(doc), F.lit(r"(?m)^(#{1,6})[ \t]"), F.lit(1)), F.length)
 
 
-def header_jumps(doc: Column | str) -> Column:
+def header_jumps(doc: Column | str, levels: Column | None = None) -> Column:
     """How often a header is more than one level below the one before."""
-    levels = header_levels(doc)
+    levels = header_levels(doc) if levels is None else levels
     pairs = F.zip_with(F.slice(levels, F.lit(1), F.greatest(F.size(levels) - 1, F.lit(0))), F.slice(levels, F.lit(2), F.greatest(F.size(levels) - 1, F.lit(0))), lambda a, b: b - a)
     return F.when(F.size(levels) < 2, 0).otherwise(F.size(F.filter(pairs, lambda d: d > 1)))
 
@@ -100,25 +100,25 @@ def _word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda x: x != ""))
 
 
-def clarity(doc: Column | str) -> Column:
+def clarity(doc: Column | str, levels: Column | None = None, sentences: Column | None = None) -> Column:
     """Length of sentences (10 to 20 words is best) and number of headers, halved."""
-    s = sentence_list(doc)
+    s, levels = sentence_list(doc) if sentences is None else sentences, header_levels(doc) if levels is None else levels
     mean = F.when(F.size(s) > 0, F.aggregate(s, F.lit(0), lambda a, x: a + _word_count(x)) / F.size(s))
     length = F.when(mean.isNull(), 0.7).when(mean.between(10, 20), 1.0).when(mean > 25, 0.6).otherwise(0.8)
-    return F.round((length + F.when(F.size(header_levels(doc)) >= 3, 1.0).otherwise(0.6)) / 2, 4)
+    return F.round((length + F.when(F.size(levels) >= 3, 1.0).otherwise(0.6)) / 2, 4)
 
 
-def conciseness(doc: Column | str) -> Column:
+def conciseness(doc: Column | str, sentences: Column | None = None) -> Column:
     """Words in all (200 to 800 is best), less a tenth for each repeated sentence of more than three words, at least 0."""
     n = _word_count(_text(doc))
     base = F.when(n.between(200, 800), 1.0).when(n > 1200, 0.6).when(n < 100, 0.5).otherwise(0.8)
-    long = F.filter(F.transform(sentence_list(doc), F.lower), lambda x: _word_count(x) > 3)
+    long = F.filter(F.transform(sentence_list(doc) if sentences is None else sentences, F.lower), lambda x: _word_count(x) > 3)
     return F.round(F.greatest(F.lit(0.0), base - 0.1 * (F.size(long) - F.size(F.array_distinct(long)))), 4)
 
 
-def organization(doc: Column | str) -> Column:
+def organization(doc: Column | str, levels: Column | None = None) -> Column:
     d = F.lower(_text(doc))
-    return F.round((F.when(header_jumps(doc) > 0, 0.5).otherwise(1.0) + F.when(F.contains(F.substring(d, 1, 500), F.lit("overview")), 1.0).otherwise(0.5)) / 2, 4)
+    return F.round((F.when(header_jumps(doc, levels) > 0, 0.5).otherwise(1.0) + F.when(F.contains(F.substring(d, 1, 500), F.lit("overview")), 1.0).otherwise(0.5)) / 2, 4)
 
 
 def usefulness(doc: Column | str) -> Column:
@@ -134,10 +134,11 @@ def omissions(f: Column, c: Column, code: Column | str, doc: Column | str) -> Co
     return F.round(base * F.when(raised, 0.5).otherwise(1.0), 4)
 
 
-def coherence(doc: Column | str) -> Column:
+def coherence(doc: Column | str, levels: Column | None = None) -> Column:
     d = F.lower(_text(doc))
+    levels = header_levels(doc) if levels is None else levels
     linked = F.rlike(d, F.lit("see |refer|therefore|because|so |which"))
-    return F.round((F.when(F.size(header_levels(doc)) >= 3, 1.0).otherwise(0.6) + F.when(linked, 1.0).otherwise(0.7)) / 2, 4)
+    return F.round((F.when(F.size(levels) >= 3, 1.0).otherwise(0.6) + F.when(linked, 1.0).otherwise(0.7)) / 2, 4)
 
 
 #: Weights of the nine scores in the overall one.
@@ -145,11 +146,11 @@ WEIGHTS = {"accuracy": 1.5, "hallucination": 1.5, "completeness": 1.5, "clarity"
 
 
 def nine_scores(df: DataFrame, key: str, code: str, doc: str) -> DataFrame:
-    """key, the nine scores from 0 to 5 and their weighted mean. Facts and claims are columns first, so that each is found once."""
-    facts = df.select(key, code, doc, code_facts(code).alias("f_"), doc_claims(doc).alias("c_"))
+    """key, the nine scores from 0 to 5 and their weighted mean. Facts, claims, header levels and sentences are columns first, each found once."""
+    facts = df.select(key, code, doc, code_facts(code).alias("f_"), doc_claims(doc).alias("c_"), header_levels(doc).alias("l_"), sentence_list(doc).alias("s_"))
     f, c = F.col("f_"), F.col("c_")
-    known = facts.select(key, factual_accuracy(f, c).alias("fact_"), omissions(f, c, code, doc).alias("omissions"), clarity(doc).alias("clarity"), conciseness(doc).alias("conciseness"),
-                         organization(doc).alias("organization"), usefulness(doc).alias("usefulness"), coherence(doc).alias("coherence"))
+    known = facts.select(key, factual_accuracy(f, c).alias("fact_"), omissions(f, c, code, doc).alias("omissions"), clarity(doc, F.col("l_"), F.col("s_")).alias("clarity"), conciseness(doc, F.col("s_")).alias("conciseness"),
+                         organization(doc, F.col("l_")).alias("organization"), usefulness(doc).alias("usefulness"), coherence(doc, F.col("l_")).alias("coherence"))
     fact = F.col("fact_")
     part = {"accuracy": fact["accuracy"], "hallucination": 1 - fact["hallucination_rate"], "completeness": fact["method_recall"]} | {k: F.col(k) for k in list(WEIGHTS)[3:]}
     total = sum((part[k] * w for k, w in list(WEIGHTS.items())[1:]), part["accuracy"] * WEIGHTS["accuracy"])

@@ -343,3 +343,32 @@ def test_hooks_in_batches(spark):
     assert [r.v for r in df.select(hooks.encoder(lambda ts: [[float(len(x))] for x in ts], "p:")("t").alias("v")).collect()] == [[4.0], [2.0]]
     assert [r.j for r in df.select(hooks.judge(lambda ps: [p.upper() for p in ps])("t").alias("j")).collect()] == ["AB", ""]
     assert [r.p for r in df.select(hooks.splitter(lambda ts: [[len(x)] for x in ts])("t").alias("p")).collect()] == [[2], [0]]
+
+
+def test_more_readers(spark, tmp_path):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    for name in ("in/a.prog.abap", "in/deep/b.prog.abap", "in/c.md"):
+        (tmp_path / name).write_text("text of\n" + name)
+    texts = {r.file: r.text for r in readers.read_texts(spark, str(tmp_path / "in"), ".prog.abap").collect()}
+    assert texts == {"a": "text of\nin/a.prog.abap", "b": "text of\nin/deep/b.prog.abap"}
+    plan = [(r.path.rsplit("/", 1)[1], r.target.rsplit("/", 1)[1], r.clash) for r in readers.rename_plan(spark, str(tmp_path / "in"), ".prog.abap", ".abap").orderBy("path").collect()]
+    assert plan == [("a.prog.abap", "a.abap", False), ("b.prog.abap", "b.abap", False)]
+    (tmp_path / "q.json").write_text(json.dumps({"q1": {"text": "x"}, "q2": {"text": None}}))
+    assert {(r.qid, r.text) for r in readers.read_query_map(spark, str(tmp_path / "q.json")).collect()} == {("q1", "x"), ("q2", None)}
+    (tmp_path / "e.jsonl").write_text('{"ids": [1, 2], "mask": [1, 1]}\n{"ids": [1], "mask": []}\n{"ids": [], "mask": []}\n{"ids": [1, 2, 3], "mask": [1, 1, 1]}\n{"ids": null, "mask": null}\n')
+    examples = readers.read_examples(spark, str(tmp_path / "e.jsonl"))
+    assert [r.ids for r in readers.valid_examples(examples, "ids", "mask", 2).collect()] == [[1, 2]] and readers.read_examples(spark, str(tmp_path / "e.jsonl"), 2).count() == 2
+    df = spark.createDataFrame([("q", "a", 1)], "user_question string, model_answer string, answer_rank int")
+    assert readers.guess_columns(df, [("question", ["question", "query"]), ("answer", ["answer"]), ("rank", ["rank"])]).columns == ["question", "answer", "rank"]
+    with pytest.raises(ValueError):
+        readers.guess_columns(df, [("context", ["context"])])
+    out = str(tmp_path / "out")
+    readers.write_results(df, out)
+    readers.write_results(df, out, mode="append")
+    assert spark.read.json(out).count() == 2
+    readers.write_with_statistics(df, df.groupBy().count(), str(tmp_path / "both"))
+    assert spark.read.json(str(tmp_path / "both" / "statistics")).first()["count"] == 1
+    store = spark.createDataFrame([("conv_2",), ("conv_10",), ("other",), (None,)], "conversation_id string")
+    new = spark.createDataFrame([(2, "b"), (1, "a")], "key int, messages string")
+    assert [(r.conversation_id, r.messages) for r in readers.append_conversations(store, new, "c").orderBy("messages").collect()] == [("conv_11", "a"), ("conv_12", "b")]
+    assert readers.append_conversations(store.limit(0), new, "c").agg(F.min("conversation_id")).first()[0] == "conv_1"
