@@ -13,7 +13,8 @@ from docskein.operators import hooks
 from docskein.operators import ngrams as ng
 from docskein.operators import understanding as un
 from docskein.plans.answers import BLANK, ROWS, rows
-from docskein.plans.registry import query, table
+from docskein.plans import texts  # noqa: F401  (registers the SQL used below)
+from docskein.plans.registry import SQL, query, table
 from docskein.plans.retrieval import BM25, LATEST, WORD, bm25_run, chunk_texts
 
 #: Each score of a judgement with the least that its metric asks for.
@@ -235,16 +236,21 @@ def m_keyword_coverage(spark, folder):
     return s.select("question_id", F.round("s.coverage", 6).alias("coverage"), F.round("s.precision", 6).alias("precision"))
 
 
-@query()
-def f_new_questions(spark, folder):
-    """Golden questions taken one after the other unless they are too similar to one that was taken (greedy, so without SQL)."""
-    return ng.accepted_in_order(table(spark, folder, "golden_dataset").select("item_id", "question"), "item_id", "question", 0.5)
+SIMILAR = f"""w AS (SELECT item_id, list_distinct(coalesce(regexp_extract_all(lower(question), '{WORD}'), [])) AS w FROM golden_dataset),
+ pairs AS (SELECT a.item_id AS a, b.item_id AS b FROM w a JOIN w b ON a.item_id < b.item_id WHERE len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) >= 0.5::DOUBLE * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) - 1e-9)"""
 
 
 @query(
-    f"""WITH w AS (SELECT item_id, list_distinct(coalesce(regexp_extract_all(lower(question), '{WORD}'), [])) AS w FROM golden_dataset)
- SELECT a.item_id AS a, b.item_id AS b FROM w a JOIN w b ON a.item_id < b.item_id WHERE len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) >= 0.5::DOUBLE * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) - 1e-9"""
+    f"""WITH RECURSIVE {SIMILAR}, near AS (SELECT b AS item_id, list(a) AS earlier FROM pairs GROUP BY 1), o AS MATERIALIZED (SELECT item_id, row_number() OVER (ORDER BY item_id) AS rn, earlier FROM golden_dataset LEFT JOIN near USING (item_id)),
+ r(rn, taken) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT o.rn, CASE WHEN o.earlier IS NOT NULL AND list_has_any(taken, o.earlier) THEN taken ELSE list_append(taken, o.item_id) END FROM r JOIN o ON o.rn = r.rn + 1)
+ SELECT item_id, list_contains((SELECT taken FROM r ORDER BY rn DESC LIMIT 1), item_id) AS accepted FROM golden_dataset"""
 )
+def f_new_questions(spark, folder):
+    """Golden questions taken one after the other unless they are too similar to one that was taken."""
+    return ng.accepted_in_order(table(spark, folder, "golden_dataset").select("item_id", "question"), "item_id", "question", 0.5)
+
+
+@query(f"WITH {SIMILAR} SELECT a, b FROM pairs")
 def f_similar_questions(spark, folder):
     """Pairs of golden questions that share half of their words, by a join on rare words."""
     return ng.similar_word_sets(table(spark, folder, "golden_dataset").select("item_id", "question"), "item_id", "question", 0.5)
@@ -329,7 +335,9 @@ def d_table_score(spark, folder):
     return table(spark, folder, "dataset").select("sample_id", dq.table_score("documentation").alias("tables"))
 
 
-@query()
+@query(
+    f"""WITH k AS ({SQL["q_question_types"]}) SELECT kind, count(*) AS n, count(*) FILTER (complex) AS complex, count(*) FILTER (out_of_scope) AS out_of_scope FROM k GROUP BY 1"""
+)
 def q_type_report(spark, folder):
     """Kinds of golden questions, how many are complex and how many are out of scope."""
     return un.type_report(table(spark, folder, "golden_dataset"), "question")

@@ -197,13 +197,32 @@ def d_factual_accuracy(spark, folder):
     return known.select("sample_id", dq.factual_accuracy(F.col("f"), F.col("c")).alias("x")).select("sample_id", "x.*")
 
 
-@query()
-def d_nine_scores(spark, folder):
-    """The nine documentation scores and the overall one (its parts have SQL of their own)."""
-    return dq.nine_scores(table(spark, folder, "dataset"), "sample_id", "code", "documentation")
+LEVELS = r"""l AS (SELECT sample_id, coalesce(documentation, '') AS d, list_transform(regexp_extract_all(coalesce(documentation, ''), '(?m)^(#{1,6})[ \t]', 1), lambda x: length(x)) AS v FROM dataset)"""
 
+#: The sentences of documentation, their number of words, and those of more than three words.
+CLEAR = r"""cs AS (SELECT sample_id, coalesce(documentation, '') AS d, list_filter(list_transform(regexp_split_to_array(coalesce(documentation, ''), '[.!?]+'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'), ' ')), lambda x: x <> '') AS s,
+  len(regexp_extract_all(coalesce(documentation, ''), '(?m)^(#{1,6})[ \t]', 1)) AS h FROM dataset),
+ cm AS (SELECT *, len(list_filter(regexp_split_to_array(d, '\s+'), lambda x: x <> '')) AS n, CASE WHEN len(s) > 0 THEN list_sum(list_transform(s, lambda x: len(string_split(x, ' ')))) / len(s) END AS mean, list_filter(list_transform(s, lambda x: lower(x)), lambda x: len(string_split(x, ' ')) > 3) AS long FROM cs),
+ clear AS (SELECT sample_id, d, h, round((CASE WHEN mean IS NULL THEN 0.7 WHEN mean BETWEEN 10 AND 20 THEN 1 WHEN mean > 25 THEN 0.6 ELSE 0.8 END + CASE WHEN h >= 3 THEN 1 ELSE 0.6 END)::DOUBLE / 2, 4) AS clarity,
+  round(greatest(0, CASE WHEN n BETWEEN 200 AND 800 THEN 1 WHEN n > 1200 THEN 0.6 WHEN n < 100 THEN 0.5 ELSE 0.8 END::DOUBLE - 0.1 * (len(long) - len(list_distinct(long)))), 4) AS conciseness FROM cm)"""
+USEFUL = ("example", "error", "depend", "parameter", "return", "note", "use", "when", "if ")
+_WEIGHED = " + ".join(f"{name} * {weight}::DOUBLE" for name, weight in dq.WEIGHTS.items())
 
-LEVELS = r"""l AS (SELECT sample_id, coalesce(documentation, '') AS d, list_transform(regexp_extract_all(coalesce(documentation, ''), '(?m)^(#{1,6})[ \t]', 1), lambda x: length(x)) AS v FROM dataset)"""
+
+@query(
+    f"""WITH {FACTS}, {LEVELS}, {CLEAR}, j AS (SELECT sample_id, len(list_filter(range(2, len(v) + 1), lambda i: v[i] - v[i - 1] > 1)) AS jumps FROM l),
+ u AS (SELECT sample_id, d, {" + ".join(f"contains(lower(d), '{w}')::INT" for w in USEFUL)} AS hits FROM clear),
+ p AS (SELECT sample_id, round((recall + constructs) / 2, 4) AS accuracy, 1 - round(invented, 4) AS hallucination, round(recall, 4) AS completeness, clarity,
+  round((CASE WHEN jumps > 0 THEN 0.5 ELSE 1.0 END + CASE WHEN contains(substr(lower(clear.d), 1, 500), 'overview') THEN 1.0 ELSE 0.5 END)::DOUBLE / 2, 4) AS organization,
+  CASE WHEN hits >= 6 THEN 1.0 WHEN hits >= 4 THEN 0.8 WHEN hits >= 2 THEN 0.6 ELSE 0.4 END::DOUBLE AS usefulness,
+  round(CASE WHEN len(m) = 0 THEN 1 ELSE 1 - len(list_filter(m, lambda x: NOT list_contains(dm, x)))::DOUBLE / len(m) END * CASE WHEN contains(c, 'RAISE EXCEPTION') AND NOT regexp_matches(lower(clear.d), 'error|exception|raise') THEN 0.5 ELSE 1.0 END::DOUBLE, 4) AS omissions,
+  round((CASE WHEN h >= 3 THEN 1.0 ELSE 0.6 END + CASE WHEN regexp_matches(lower(clear.d), 'see |refer|therefore|because|so |which') THEN 1.0 ELSE 0.7 END)::DOUBLE / 2, 4) AS coherence, conciseness
+  FROM n JOIN s USING (sample_id) JOIN f USING (sample_id) JOIN clear USING (sample_id) JOIN j USING (sample_id) JOIN u USING (sample_id))
+ SELECT sample_id, {", ".join(f"round({name} * 5, 4) AS {name}" for name in dq.WEIGHTS)}, round(({_WEIGHED}) * 5 / {sum(dq.WEIGHTS.values())}::DOUBLE, 4) AS overall FROM p"""
+)
+def d_nine_scores(spark, folder):
+    """The nine documentation scores and the overall one."""
+    return dq.nine_scores(table(spark, folder, "dataset"), "sample_id", "code", "documentation")
 
 
 @query(
@@ -215,13 +234,7 @@ def d_markdown(spark, folder):
     return table(spark, folder, "dataset").select("sample_id", dq.header_jumps("documentation").cast("int").alias("jumps"), dq.markdown_score("documentation").alias("markdown"))
 
 
-@query(
-    r"""WITH s AS (SELECT sample_id, coalesce(documentation, '') AS d, list_filter(list_transform(regexp_split_to_array(coalesce(documentation, ''), '[.!?]+'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'), ' ')), lambda x: x <> '') AS s,
-  len(regexp_extract_all(coalesce(documentation, ''), '(?m)^(#{1,6})[ \t]', 1)) AS h FROM dataset),
- m AS (SELECT *, len(list_filter(regexp_split_to_array(d, '\s+'), lambda x: x <> '')) AS n, CASE WHEN len(s) > 0 THEN list_sum(list_transform(s, lambda x: len(string_split(x, ' ')))) / len(s) END AS mean, list_filter(list_transform(s, lambda x: lower(x)), lambda x: len(string_split(x, ' ')) > 3) AS long FROM s)
- SELECT sample_id, round((CASE WHEN mean IS NULL THEN 0.7 WHEN mean BETWEEN 10 AND 20 THEN 1 WHEN mean > 25 THEN 0.6 ELSE 0.8 END + CASE WHEN h >= 3 THEN 1 ELSE 0.6 END)::DOUBLE / 2, 4) AS clarity,
- round(greatest(0, CASE WHEN n BETWEEN 200 AND 800 THEN 1 WHEN n > 1200 THEN 0.6 WHEN n < 100 THEN 0.5 ELSE 0.8 END::DOUBLE - 0.1 * (len(long) - len(list_distinct(long)))), 4) AS conciseness FROM m"""
-)
+@query(f"WITH {CLEAR} SELECT sample_id, clarity, conciseness FROM clear")
 def d_clarity(spark, folder):
     return table(spark, folder, "dataset").select("sample_id", dq.clarity("documentation").alias("clarity"), dq.conciseness("documentation").alias("conciseness"))
 
