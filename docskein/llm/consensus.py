@@ -67,20 +67,22 @@ def _posterior(votes: DataFrame, params: DataFrame | None) -> DataFrame:
     return shares.select("item", "judge", "shown", "label", "n", "rows", *[(F.col(f"e{i}") / total).alias(f"q{i}") for i in range(k)])
 
 
-def _parameters(posterior: DataFrame, smoothing: float) -> DataFrame:
+def _sums(posterior: DataFrame) -> DataFrame:
+    """A row for each rater: expected counts c<label><true label> of its votes, and its share m<true label> of the items' posteriors."""
+    k = len(LABELS)
+    counts = [F.sum(F.when(F.col("label") == v, F.col("n") * F.col(f"q{i}")).otherwise(0.0)).alias(f"c{v}{i}") for v in range(k) for i in range(k)]
+    return posterior.groupBy("judge", "shown").agg(*counts, *[F.sum(F.col(f"q{i}") / F.col("rows")).alias(f"m{i}") for i in range(k)])
+
+
+def _parameters(sums: DataFrame, smoothing: float) -> DataFrame:
     """judge, shown, label, log0.. (of the label given each true label), prior0.. (log), from expected counts."""
     k = len(LABELS)
-    sums = posterior.groupBy("judge", "shown", "label").agg(*[F.sum(F.col("n") * F.col(f"q{i}")).alias(f"c{i}") for i in range(k)], *[F.sum(F.col(f"q{i}") / F.col("rows")).alias(f"m{i}") for i in range(k)])
-    raters = sums.select("judge", "shown").distinct().crossJoin(sums.sparkSession.range(k).select(F.col("id").cast("int").alias("label")))  # k rows for each rater
-    full = raters.join(sums, ["judge", "shown", "label"], "left").fillna(0.0)
-    rater, every = Window.partitionBy("judge", "shown"), posterior.agg(*[F.sum(F.col(f"q{i}") / F.col("rows")).alias(f"t{i}") for i in range(k)])
-    smooth = [F.col(f"c{i}") + smoothing * (1 + (F.col("label") == i).cast("double")) for i in range(k)]
-    priors = sum((F.col(f"t{i}") + 1 for i in range(1, k)), F.col("t0") + 1)
-    return full.crossJoin(F.broadcast(every)).select(
-        "judge", "shown", "label",
-        *[F.log(smooth[i] / F.sum(smooth[i]).over(rater)).alias(f"log{i}") for i in range(k)],
-        *[F.log((F.col(f"t{i}") + 1) / priors).alias(f"prior{i}") for i in range(k)],
-    )
+    every = sums.agg(*[(F.sum(f"m{i}") + 1).alias(f"t{i}") for i in range(k)])  # one row
+    smooth = [[F.col(f"c{v}{i}") + smoothing * (2.0 if v == i else 1.0) for i in range(k)] for v in range(k)]
+    total = [sum((smooth[v][i] for v in range(1, k)), smooth[0][i]) for i in range(k)]
+    prior = [F.log(F.col(f"t{i}") / sum((F.col(f"t{j}") for j in range(1, k)), F.col("t0"))).alias(f"prior{i}") for i in range(k)]
+    labels = F.array(*[F.struct(F.lit(v).alias("label"), *[F.log(smooth[v][i] / total[i]).alias(f"log{i}") for i in range(k)]) for v in range(k)])
+    return sums.crossJoin(F.broadcast(every)).select("judge", "shown", *prior, F.explode(labels).alias("x")).select("judge", "shown", "x.*", *[f"prior{i}" for i in range(k)])
 
 
 def estimate(votes: DataFrame, smoothing: float = 1.0, tolerance: float = 1e-3) -> tuple[DataFrame, DataFrame]:
@@ -94,13 +96,15 @@ def estimate(votes: DataFrame, smoothing: float = 1.0, tolerance: float = 1e-3)
     counted = votes.groupBy("item", "judge", "shown", number.alias("label")).agg(F.count("*").alias("n"))
     staged = stage(counted, "votes")
     counted = staged.repartition("item").persist()  # by item once: no round shuffles the votes again
-    params = stage(_parameters(_posterior(counted, None), smoothing), "raters")
+    sums = stage(_sums(_posterior(counted, None)), "raters")
+    params = _parameters(sums, smoothing)
     while True:
-        new = stage(_parameters(_posterior(counted, params), smoothing), "raters")
+        now = stage(_sums(_posterior(counted, params)), "raters")
+        new = _parameters(now, smoothing)
         both = new.alias("x").join(params.alias("y"), ["judge", "shown", "label"])
         moved = both.agg(F.max(F.greatest(*[F.abs(F.exp(f"x.log{i}") - F.exp(f"y.log{i}")) for i in range(len(LABELS))]))).first()[0]
-        release(params)
-        params = new
+        release(sums)
+        sums, params = now, new
         if moved is None or moved < tolerance:
             break
     posterior = _posterior(counted, params)
